@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.arrays import buffer_of, ranges
 from turnstone.llm.bpe import HashCache
-from turnstone.llm.common import only, sliced, written
+from turnstone.llm.common import only, packed, sliced, unpacked, written
 from turnstone.llm.pretokens import special_cuts, with_hashes
 
 
@@ -192,9 +192,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, k
             rank = np.empty(len(length), np.int64)
             rank[order] = seen[ordered] + np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
             seen += np.bincount(length, minlength=capacity + 1)
-            raw = pa.py_buffer(ids.astype("<u4").tobytes())
-            at = 4 * np.append(offsets[doc] + start, offsets[-1])  # pieces lie one behind the other
-            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at.astype(np.int64).tobytes()), raw]).cast(pa.binary())
+            raw = memoryview(ids.astype("<u4").tobytes())
+            at = (4 * np.append(offsets[doc] + start, offsets[-1])).tolist()  # pieces lie one behind the other
+            values = pa.array([packed(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), values, pa.array(np.full(len(doc), part)), pa.array(rank)],
                 names=[key, "piece", "start", "length", "ids", "part", "rank"],
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, k
                 nth = rank[rows_] - first[run]
                 sequence[rows_] = bin_[run] + nth // each[run]
                 offset[rows_] = at[run] + nth % each[run] * size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[key, "piece", "start", "length", "ids", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([unpacked(x.as_py()) for x in batch.column(4)], pa.binary()), pa.array(sequence), pa.array(offset)], names=[key, "piece", "start", "length", "ids", "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, f"`{key}` {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
