@@ -34,9 +34,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = {
     "f_words": ("ln(1 + n_words)", 0.4),
     "f_length": ("word_chars / n_words", 0.4),
-    "f_symbols": ("n_symbols / word_chars", 0.02),
-    "f_lines": ("n_dup_lines / n_lines", 0.04),
-    "f_repeats": ("n_repeat_words / n_words", 0.04),
+    "f_symbols": ("n_symbols / word_chars", 0.016),
+    "f_lines": ("n_dup_lines / n_lines", 0.12),
+    "f_repeats": ("n_repeat_words / n_words", 0.08),
 }
 NAMES = list(FEATURES)
 P = len(NAMES)
@@ -169,7 +169,7 @@ def robust_outliers(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"),
     return features.join(params, "_group", "left").withColumn("distance2", F.when(F.col("n") >= least_rows, distance)).drop("_group", "n", *NAMES, *[f"c{i}" for i in range(P)], *[f"a{i}_{j}" for i, j in PAIRS])
 
 
-def quality(docs: DataFrame, cut_off: float = 60.0, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def quality(docs: DataFrame, cut_off: float = 40.0, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """key, the counts, base_failed, distance2 and kept of every document."""
     all_rows = written(statistics(docs, key, text, by).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "counts")
     judged = robust_outliers(all_rows.filter("not base_failed"), by)

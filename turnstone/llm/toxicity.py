@@ -41,7 +41,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 _SEPARATORS = [chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in SUBSTITUTES] + list("\u0085   «»‘’“”–—…¿¡")
 _TABLE = str.maketrans({**LOOK_ALIKES, **SUBSTITUTES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(_SEPARATORS, " ")})
 
-SHORTEST, LONGEST = 4, 8
+SHORTEST, LONGEST = 3, 8
 
 
 def fold(text: str | None) -> str:
@@ -100,7 +100,7 @@ class Lexicon:
         if not found:
             return 0.0
         words = folded.count(" ") - 1
-        return sum(self.weights[e] for _, e in found) / (1.0 + math.log1p(words / 100))
+        return sum(self.weights[e] for _, e in found) / (1.0 + 0.25 * math.log1p(words / 100))
 
     def score(self, measure: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.bias + self.slope * measure))))
@@ -132,7 +132,7 @@ def choose(found: list[tuple[str, int, int]], positive: int, negative: int, n_fe
     for entry in sorted(weight, key=lambda e: (len(e.rstrip(" ")), e)):
         stem = entry.rstrip(" ")
         shorter = [kept[stem[:n]] for n in range(SHORTEST + 1, len(stem) + 1) if stem[:n] in kept and stem[:n] != entry]
-        if not shorter or max(shorter) < weight[entry] - 1.0:
+        if not shorter or max(shorter) < weight[entry] - 0.3:
             kept[entry] = weight[entry]
     return kept
 
