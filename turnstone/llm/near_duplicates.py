@@ -268,3 +268,13 @@ def _same_key(keyed: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     several = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
     rows = keyed.select(key, "n_shingles", "f1", "f2").join(several, key).join(classes, ["n_shingles", "f1", "f2"])
     return rows.select(F.col(key).alias("a"), F.col("doc").alias("b"))
+
+
+def keep_one(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are the least of their component; of rows that share a key, the least row."""
+    rejected = written(near_duplicates(docs, percent, key=key, text=text).filter("not kept").select(key).distinct(), "rejected")
+    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    once = docs.join(rejected.union(repeated).hint("merge"), key, "left_anti").select(docs.columns)
+    again = docs.join(repeated, key, "left_semi").join(rejected, key, "left_anti")
+    least = again.groupBy(key).agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (key, text)])).alias("_r"))
+    return once.unionByName(least.select(key, "_r.*").select(docs.columns))

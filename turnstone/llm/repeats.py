@@ -374,6 +374,9 @@ def _bounded(gram: np.ndarray, most: int) -> Iterator[slice]:
         at = to
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def remove_spans(search: Search) -> Callable:
     """Documents of a group without what their spans cover."""
 
@@ -384,7 +387,6 @@ def remove_spans(search: Search) -> Callable:
         full = [_arrays(p, np.int64)[0] for kind, p in zip(kinds, payloads, strict=True) if kind == _FULL]
         full = set(np.concatenate(full).tolist()) if full else set()
         out = []
-        kind = docs.schema.field("text").type
         for batch in sliced(iter(docs.combine_chunks().to_batches())):
             tokens = Tokens.of(batch.column(batch.schema.get_field_index("text")), search.words)
             own = batch.column(batch.schema.get_field_index("uid")).to_numpy()
@@ -403,11 +405,14 @@ def remove_spans(search: Search) -> Callable:
                     "text": batch.column(batch.schema.get_field_index("text")),
                     "n_tokens": pa.array(sizes),
                     "n_removed": pa.array(removed, pa.int64()),
-                    "spans": pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    "spans": pa.array(lists, _SPANS),
                     "kept": pa.array(kept, pa.binary()),
                 })
             )
-        return pa.concat_tables(out) if out else pa.table({"key": pa.array([], docs.schema.field("key").type), "text": pa.array([], kind), "n_tokens": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array([], pa.binary())})
+        if out:
+            return pa.concat_tables(out)
+        kinds = {c: docs.schema.field(c).type for c in ("key", "rest", "text")} | {"n_tokens": pa.int64(), "n_removed": pa.int64(), "spans": _SPANS, "kept": pa.binary()}
+        return pa.table({c: pa.array([], k) for c, k in kinds.items()})
 
     return run
 
@@ -438,14 +443,15 @@ def _words(raw: np.ndarray) -> list[bytes]:
     return [w for w in raw.tobytes().translate(_TO_BLANK).split(b" ") if w]
 
 
-def repeated_spans(docs: DataFrame, search: Search, group_windows: Callable, key: str = "doc_id", text: str = "text", bucket_bytes: int = 2 << 20) -> DataFrame:
-    """key, text, n_tokens, n_removed, spans (of tokens, merged), kept (bytes outside the spans) of every document."""
+def repeated_spans(docs: DataFrame, search: Search, group_windows: Callable, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bucket_bytes: int = 2 << 20) -> DataFrame:
+    """key, text, rest (a struct of the carried columns), n_tokens, n_removed, spans (of tokens, merged), kept (bytes outside the spans) of every document."""
     spark = docs.sparkSession
     groups = buckets_for(docs, bucket_bytes, least=256)
     buckets = buckets_for(docs, bucket_bytes, least=256)
-    rows = only(docs, key, text).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), rest.alias("rest"))
     # Rows without a key come behind all others.
-    rows = rows.select("key", "text", F.xxhash64("key", "text").alias("uid"), F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1)).alias("rank"))
+    rows = rows.select("key", "text", "rest", F.xxhash64("key", "text").alias("uid"), F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1)).alias("rank"))
     rows = rows.withColumn("at", F.pmod(F.col("uid"), F.lit(groups)))
 
     common = rows.select("uid", "text").mapInArrow(send_anchors(search, buckets, groups), _ROWS)
@@ -471,4 +477,5 @@ def repeated_spans(docs: DataFrame, search: Search, group_windows: Callable, key
     release(spark)
     verdicts = spans.unionByName(lists.filter(F.col("kind") == _FULL))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("at", "key", "uid", "rank", "text").groupBy("at").cogroup(verdicts.groupBy("at")).applyInArrow(remove_spans(search), f"key {kind}, text string, n_tokens long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    rest_kind = rows.schema["rest"].dataType.simpleString()
+    return rows.select("at", "key", "uid", "rank", "text", "rest").groupBy("at").cogroup(verdicts.groupBy("at")).applyInArrow(remove_spans(search), f"key {kind}, text string, rest {rest_kind}, n_tokens long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")

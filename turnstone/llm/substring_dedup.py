@@ -92,6 +92,6 @@ def tree_groups(first: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_passages(docs: DataFrame, window: int = 35, gram: int = 14, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, n_tokens (words), n_removed, spans (word ranges), kept (other words joined by a blank) of every document."""
-    return repeated_spans(docs, Search(window, gram, words=True, other_document=False), tree_groups, key, text)
+def remove_passages(docs: DataFrame, window: int = 35, gram: int = 14, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, text, rest (the carried columns), n_tokens (words), n_removed, spans (word ranges), kept (other words joined by a blank) of every document."""
+    return repeated_spans(docs, Search(window, gram, words=True, other_document=False), tree_groups, key, text, carry)

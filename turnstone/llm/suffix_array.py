@@ -52,6 +52,6 @@ def radix_groups(first: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, n_tokens (bytes), n_removed, spans (byte ranges), kept (remaining bytes) of every document."""
-    return repeated_spans(docs, Search(window, gram, words=False, other_document=True), radix_groups, key, text)
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, text, rest (the carried columns), n_tokens (bytes), n_removed, spans (byte ranges), kept (remaining bytes) of every document."""
+    return repeated_spans(docs, Search(window, gram, words=False, other_document=True), radix_groups, key, text, carry)

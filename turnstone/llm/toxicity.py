@@ -220,3 +220,14 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
     rows = only(docs, key, text)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, measure double, score double, n_matches int")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(lexicon.measure(fold(t.as_py()))) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
