@@ -138,7 +138,9 @@ def token_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.nda
     def make(at: np.ndarray) -> np.ndarray:
         raw = memoryview(data)
         words = [bytes(raw[a:b]).decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        ids = [e.ids for e in whole.encode_batch(words, add_special_tokens=False)]
+        ids = []
+        for i in range(0, len(words), 2048):  # the library's results take a KB and more for each word
+            ids += [e.ids for e in whole.encode_batch(words[i : i + 2048], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total, used = int(sizes.sum()), pool[1]
         while used + total > len(pool[0]):
