@@ -216,7 +216,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int,
 
     rows = only(docs, key, text).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    sets = rows.join(members, "doc").mapInArrow(run, f"doc {kind}, component {kind}, blocks int, block int, shingles array<long>")
+    # The members grow with the corpus: the join is by sorting at every size, never a broadcast that a larger table loses.
+    sets = rows.join(members.hint("merge"), "doc").mapInArrow(run, f"doc {kind}, component {kind}, blocks int, block int, shingles array<long>")
     # A cluster of one block goes to one of many common groups, so that groups are many rows each.
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
