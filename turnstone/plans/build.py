@@ -14,6 +14,7 @@ from turnstone.operators import extract as E
 from turnstone.operators import postings as I
 from turnstone.operators import tools as TL
 from turnstone.operators import tree as T
+from turnstone.plans.staging import lazy
 from turnstone.sources.sessions import Project
 
 TABLES = ("chunks", "entities", "constraints", "trace_steps", "evidence", "postings")
@@ -30,14 +31,18 @@ def limited_sessions(entries: DataFrame) -> DataFrame:
     return T.variant_limits(T.first_variants(T.variants(placed)))
 
 
-def build(entries: DataFrame, project: Project, active_sessions: DataFrame | None = None, own_markers: tuple[str, ...] = ("turnstone",)) -> dict[str, DataFrame]:
-    """All tables of an index over the entries. ``active_sessions`` (session_id): sessions whose last turn may be open."""
+def build(entries: DataFrame, project: Project, active_sessions: DataFrame | None = None, own_markers: tuple[str, ...] = ("turnstone",), stage=lazy) -> dict[str, DataFrame]:
+    """All tables of an index over the entries. ``active_sessions`` (session_id): sessions whose last turn may be open.
+
+    ``stage(frame, name)`` may write what several tables are made from.
+    """
     root = F.lit(project.root)
-    placed = T.turns(T.ranked_paths(T.leaf_paths(entries)), entries)
-    distinct = T.first_variants(T.variants(placed))
+    placed = stage(T.turns(T.ranked_paths(T.leaf_paths(entries)), entries), "placed")
+    distinct = stage(T.first_variants(T.variants(placed)), "variants")
     distinct = distinct.join(T.variant_limits(distinct), "session_id", "left_anti")
     distinct = distinct.withColumn("chunk_id", T.chunk_id(F.lit(project.project_id), F.col("session_id"), F.col("user_entry_id"), F.col("variant_hash")))
-    member = placed.join(distinct.select("chunk_id", "session_id", "leaf_id", "turn_no"), ["session_id", "leaf_id", "turn_no"])
+    distinct = stage(distinct, "chunk_ids")
+    member = stage(placed.join(distinct.select("chunk_id", "session_id", "leaf_id", "turn_no"), ["session_id", "leaf_id", "turn_no"]), "members")
     message = member.filter("type = 'message'").withColumn("ord", F.col("pos"))
     said, got = message.filter("role = 'assistant'"), message.filter("role = 'toolResult' and tool_call_id <> ''")
 
@@ -45,6 +50,7 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
     told = said.filter("text <> ''").groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("assistant"))
     calls = said.select("chunk_id", "ord", "entry_id", F.explode("calls").alias("c")).select("chunk_id", "ord", "entry_id", "c.*")
     paired = TL.pair_results(calls, got.select("chunk_id", "ord", "entry_id", "tool_call_id", "text", "is_error"))
+    paired = stage(paired, "paired")
     numbers = paired.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tool_call_count"), F.sum("results").cast("int").alias("paired_result_count"))
 
     found = EV.evidence(member.select("chunk_id", "session_id", "entry_id", "pos", "type", "summary", "custom_type", "content"), own_markers)
@@ -90,7 +96,8 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
             rows(TL.with_found(paired), 1, TL.call_entities(F.col("tool_name"), F.col("arguments"), root)),
         ],
     )
-    entities = E.dedupe_entities(_ordered(entities, "_phase", "_ord", "_sub", "_i"))
+    entities = stage(E.dedupe_entities(_ordered(entities, "_phase", "_ord", "_sub", "_i")), "entities")
+    chunks = stage(chunks, "chunks")
     constraints = E.dedupe_constraints(_ordered(rows(said, 0, E.constraints("text")), "_phase", "_ord", "_sub", "_i"))
 
     excluded = rows(said, 0, E.exclusions("text")).select(

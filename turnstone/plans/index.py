@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from turnstone.operators import manifest as M
 from turnstone.plans import build as B
 from turnstone.plans import lease as L
+from turnstone.plans.staging import Staging
 from turnstone.sources import sessions as S
 
 VERSIONS = {"schema_version": "1", "extractor_version": "1", "redaction_version": "1"}
@@ -115,8 +116,10 @@ class Index:
             changed = diff.filter("change in ('added', 'modified')").select("source_path").unionByName(stir).distinct()
             fresh = sessions.join(changed, "source_path", "left_semi")
             entries = entries.join(fresh.filter("rejected is null").select("session_id"), "session_id", "left_semi")
+        stage = Staging(self.spark)
+        entries, sessions = stage(entries, "entries"), stage(sessions, "sessions")
         active = sessions.filter("is_active and rejected is null").select("session_id")
-        new = B.build(entries, self.project, active)
+        new = B.build(entries, self.project, active, stage=stage)
         generation = f"gen-{uuid.uuid4().hex}"
         at = self.path / generation
         limited = B.limited_sessions(entries).select("session_id")
@@ -142,6 +145,7 @@ class Index:
         pointer.write_text(json.dumps({"generation": generation, "project_id": self.project.project_id, "root": self.project.root, "active": active_id, **VERSIONS}))
         os.replace(pointer, self.path / "current.json")
         out = Refresh(**counts, rejected=made["sessions"].filter("rejected is not null").count(), limited=over, chunks=made["chunks"].count())
+        stage.drop()
         if before:
             shutil.rmtree(self.path / before, ignore_errors=True)
         return out
