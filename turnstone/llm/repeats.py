@@ -203,17 +203,17 @@ def find_common(search: Search, groups: int) -> Callable:
     return run
 
 
-def _context_bytes(tokens: Tokens, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens low..high of each record as bytes, words with a blank behind each, and the sizes."""
+def _joined(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one behind the other, words with a blank behind each, and where each token begins."""
     if tokens.starts is None:
-        return tokens.data[ranges(low, high - low)], high - low
+        return tokens.data, np.arange(len(tokens.data) + 1)
     sizes = tokens.ends - tokens.starts + 1
     at = np.concatenate([[0], np.cumsum(sizes)])
     joined = np.full(int(at[-1]), 0x20, np.uint8)
     inside = np.ones(len(joined), bool)
     inside[at[1:] - 1] = False
     joined[inside] = tokens.data[ranges(tokens.starts, tokens.ends - tokens.starts)]
-    return joined[ranges(at[low], at[high] - at[low])], at[high] - at[low]
+    return joined, at
 
 
 def send_contexts(search: Search, buckets: int) -> Callable:
@@ -241,11 +241,13 @@ def send_contexts(search: Search, buckets: int) -> Callable:
             bucket = _bucket_of(hashes, buckets)
             order = np.argsort(bucket, kind="stable")
             place, hashes, doc, bucket = place[order], hashes[order], doc[order], bucket[order]
+            joined, begins = _joined(tokens)
             left = np.minimum(search.side, place - tokens.borders[doc]).astype(np.uint8)
             right = np.minimum(search.side, tokens.borders[doc + 1] - place - search.gram).astype(np.uint8)
             for b, rows_ in _by_bucket(bucket, buckets):
                 p, d = place[rows_], doc[rows_]
-                data, sizes = _context_bytes(tokens, p - left[rows_], p + search.gram + right[rows_])
+                low, high = begins[p - left[rows_]], begins[p + search.gram + right[rows_]]
+                data, sizes = joined[ranges(low, high - low)], high - low
                 used, index = np.unique(d, return_inverse=True)
                 out.append((b, _SPAN, _blob(hashes[rows_], index.astype(np.uint32), uid[used], rank[used], p - tokens.borders[d], left[rows_], right[rows_], sizes.astype(np.uint32), data)))
         return pa.table(_rows(out))

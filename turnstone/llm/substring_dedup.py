@@ -1,10 +1,10 @@
 """Removal of word passages that occur more than once, by prefix-partitioned suffix trees.
 
-Suffixes are split by prefixes of variable length until a group is small enough for memory; in each group a
-suffix tree is built from the top down. A node's suffixes part by their next word; where all of them go on
-alike, the node's edge covers the whole common stretch at once. Suffixes are followed no deeper than ``window``
-words. Inner nodes at that depth are the repeats: leaves below one are places of one window. ``repeats``
-says which suffixes take part.
+Suffixes are split by prefixes of variable length until a group is small enough for memory. In each group a suffix
+tree is built from the sorted suffixes and the lengths of the prefixes that neighbours share: an inner node of
+depth d is a longest run of suffixes whose neighbours share d words or more. Suffixes are followed no deeper than
+``window`` words. Inner nodes at that depth are the repeats: leaves below one are places of one window.
+``repeats`` says which suffixes take part.
 
 Null text has no words. Empty tables give empty results. Repeated rows are places like any other.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from turnstone.llm.arrays import U64, mix
 from turnstone.llm.repeats import Search, repeated_spans
 
 #: Suffixes of a group whose tree is built at once.
@@ -55,40 +54,39 @@ def prefix_groups(first: np.ndarray, windows: np.ndarray, most: int = GROUP_ROWS
     return out
 
 
-def _tails(windows: np.ndarray) -> np.ndarray:
-    """Hash of what follows from each depth on: column d covers words d, d + 1, ... of a row."""
-    out = np.zeros((len(windows), windows.shape[1] + 1), np.uint64)
-    for d in range(windows.shape[1] - 1, -1, -1):
-        out[:, d] = mix(out[:, d + 1] * U64(0x9E3779B97F4A7C15) + windows[:, d])
-    return out
+def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes (rows of words) and how many words each shares with the one before it."""
+    rows = np.ascontiguousarray(suffixes)
+    order = np.argsort(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel())
+    rows = rows[order]
+    alike = rows[1:] == rows[:-1]
+    shared = np.where(alike.all(1), rows.shape[1], alike.argmin(1))
+    return order, np.concatenate([[0], shared])
+
+
+def nodes_of_depth(shared: np.ndarray, depth: int) -> np.ndarray:
+    """The number of each leaf's node of that depth, leaves in order; a leaf below no such node has one of its own."""
+    return np.cumsum(shared < depth) - 1
 
 
 def tree_groups(first: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Numbers of the rows of a word table: equal numbers for the leaves below one node of full depth."""
+    """Numbers of the rows of a word table: equal numbers for the leaves below one node of full depth.
+
+    ``first`` parts suffixes like a word in front of them.
+    """
     out = np.full(len(first), -1, np.int64)
     made = 0
     for rows, depth in prefix_groups(first, windows):
-        own, tails = windows[rows], _tails(windows[rows])
-        node, at = first[rows].astype(np.int64), np.arange(len(rows))
-        while len(at):
-            order = np.lexsort((tails[at, depth], node))
-            at, node = at[order], node[order]
-            tail = tails[at, depth]
-            start = _runs(node)
-            number = np.diff(np.append(start, len(node)))
-            # All suffixes of a node go on alike: one edge leads to full depth. Single suffixes are leaves.
-            ended = tail[start] == tail[start + number - 1]
-            done = np.repeat(ended, number)
-            out[rows[at[done]]] = made + np.repeat(np.cumsum(ended) - 1, number)[done]
-            made += int(ended.sum())
-            at, node = at[~done], node[~done]
-            if not len(at):
-                break
-            word = own[at, depth]
-            order = np.lexsort((word, node))
-            at, node, word = at[order], node[order], word[order]
-            node = np.cumsum(np.concatenate([[False], (node[1:] != node[:-1]) | (word[1:] != word[:-1])])).astype(np.int64)
-            depth += 1
+        # The words of the prefix are the same in the whole group, ``first`` too behind a prefix.
+        suffixes = np.concatenate([first[rows].astype(np.uint64)[:, None], windows[rows]], 1)[:, 1 + depth if depth else 0 :]
+        if not suffixes.shape[1]:
+            out[rows] = made
+            made += 1
+            continue
+        order, shared = subtree(suffixes)
+        node = nodes_of_depth(shared, suffixes.shape[1])
+        out[rows[order]] = made + node
+        made += int(node[-1]) + 1 if len(node) else 0
     return out
 
 
