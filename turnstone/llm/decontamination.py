@@ -97,7 +97,8 @@ class Tables:
     edits: float = 0.2
     recall: float = 0.99
     sample: int = 3
-    walks: int = 6
+    walks: int = 10
+    agreement: float = 0.35
     seed: int = 29
     places: dict[int, list[tuple[int, np.ndarray]]] = field(default_factory=dict)
     tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
@@ -108,8 +109,8 @@ class Tables:
         return int(n * self.edits)
 
     def number_of_tables(self) -> int:
-        """Tables so that strings which agree in half of their places meet with the target recall."""
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - 0.5**self.sample))
+        """Tables so that strings which agree in ``agreement`` of their places meet with the target recall."""
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.sample))
 
     def build(self) -> Tables:
         rng = np.random.default_rng(self.seed)

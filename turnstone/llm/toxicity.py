@@ -103,7 +103,8 @@ class Lexicon:
         return sum(self.weights[e] for _, e in found) / (1.0 + 0.25 * math.log1p(words / 100))
 
     def score(self, measure: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.bias + self.slope * measure))))
+        x = self.bias + self.slope * measure
+        return 0.0 if x < -700 else 1.0 / (1.0 + math.exp(-min(700.0, x)))
 
 
 def phrases(folded: str, start: int) -> list[str]:
