@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import decontamination, licenses, near_duplicates, packing, quality, sharding, substring_dedup, suffix_array, token_counts, toxicity
+from turnstone.llm import decontamination, licenses, near_duplicates, oracles, packing, quality, sharding, substring_dedup, suffix_array, token_counts, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -87,4 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_array_dedup": oracles.OP5,
+    "op7_minhash_near_dedup": oracles.OP7,
+    "op8_substring_dedup": oracles.OP8,
+}
