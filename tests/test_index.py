@@ -5,7 +5,7 @@ import json
 import pytest
 
 from turnstone.plans import search as Q
-from turnstone.plans.index import Index, IndexError_
+from turnstone.plans.index import Index, IndexMismatch
 from turnstone.sources import sessions as S
 
 ROOT = "/work/sample-project"
@@ -165,7 +165,7 @@ def test_open_turn_and_secrets(spark, tmp_path, project):
 
 
 def test_another_project_is_refused(spark, built):
-    with pytest.raises(IndexError_):
+    with pytest.raises(IndexMismatch):
         Index(spark, str(built[0].path), S.project_of("/other"))
 
 

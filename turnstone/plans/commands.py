@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstone.plans import search as Q
+from turnstone.plans import settings
 from turnstone.plans.index import Index, Refresh
 from turnstone.plans.settings import Settings
 from turnstone.sources import sessions as S
@@ -57,17 +59,26 @@ class History:
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """Command line: query, status, rebuild, clear."""
+    """Command line: query, status, settings, rebuild, clear, on, off."""
     import argparse
 
     parser = argparse.ArgumentParser(prog="turnstone", description=main.__doc__)
-    parser.add_argument("command", choices=["query", "status", "rebuild", "clear"])
+    parser.add_argument("command", choices=["query", "status", "settings", "rebuild", "clear", "on", "off"])
     parser.add_argument("text", nargs="*")
     for name in ("root", "logs", "index"):
         parser.add_argument(f"--{name}", required=True)
+    parser.add_argument("--settings", default=os.path.expanduser("~/.turnstone/settings.json"))
+    parser.add_argument("--project-settings", default=None)
     said = parser.parse_args(arguments)
+    own = said.project_settings or os.path.join(said.root, ".turnstone.json")
+    if said.command in ("on", "off"):
+        settings.save(own, {"enabled": said.command == "on"})
+        return 0
+    if said.command == "settings":
+        print(settings.load(said.settings, own))
+        return 0
     spark = SparkSession.builder.getOrCreate()
-    history = History(spark, said.root, said.logs, said.index)
+    history = History(spark, said.root, said.logs, said.index, settings.load(said.settings, own))
     if said.command == "query":
         found = history.search_project_history(" ".join(said.text))
         print(Q.render(found.collect() if found is not None else []))

@@ -28,7 +28,7 @@ VERSIONS = {"schema_version": "1", "extractor_version": "1", "redaction_version"
 BY_SESSION = {"chunks": "session_id", "evidence": "session_id"}
 
 
-class IndexError_(RuntimeError):
+class IndexMismatch(RuntimeError):
     """The index belongs to another project, or a build isn't whole."""
 
 
@@ -54,7 +54,7 @@ class Index:
         if meta:
             for key, own in (("project_id", project.project_id), ("root", project.root)):
                 if meta.get(key) != own:
-                    raise IndexError_(f"the index at {path} has another {key}")
+                    raise IndexMismatch(f"the index at {path} has another {key}")
             if any(meta.get(k) != v for k, v in VERSIONS.items()):
                 self.clear()
 
@@ -139,7 +139,7 @@ class Index:
         broken = {k: n for k, n in check(made).items() if n}
         if broken:
             shutil.rmtree(at)
-            raise IndexError_(f"the new generation isn't whole: {broken}")
+            raise IndexMismatch(f"the new generation isn't whole: {broken}")
         before = self.meta().get("generation")
         pointer = self.path / f"current-{uuid.uuid4().hex}"
         pointer.write_text(json.dumps({"generation": generation, "project_id": self.project.project_id, "root": self.project.root, "active": active_id, **VERSIONS}))

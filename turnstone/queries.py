@@ -141,7 +141,7 @@ def leaves(spark, sf_dir):
     return T.leaves(forked(spark, sf_dir)).select("session_id", "entry_id")
 
 
-@query(f"WITH RECURSIVE {PATHS} SELECT session_id, leaf_id, array_to_string(path, '>') AS path, path_len, path_rank FROM ranked")
+@query(f"WITH RECURSIVE {PATHS} SELECT session_id, leaf_id, array_to_string(path, '>') AS path, CAST(path_len AS INTEGER) AS path_len, CAST(path_rank AS INTEGER) AS path_rank FROM ranked")
 def leaf_paths(spark, sf_dir):
     return T.ranked_paths(T.leaf_paths(forked(spark, sf_dir))).select("session_id", "leaf_id", F.array_join("path", ">").alias("path"), "path_len", "path_rank")
 
@@ -151,7 +151,7 @@ def _placed(spark, sf_dir):
     return T.turns(T.ranked_paths(T.leaf_paths(rows)), rows)
 
 
-@query(f"WITH RECURSIVE {TURNS} SELECT session_id, leaf_id, turn_no, array_to_string(ids, '|') AS ids, variant_hash FROM hashed")
+@query(f"WITH RECURSIVE {TURNS} SELECT session_id, leaf_id, CAST(turn_no AS BIGINT) AS turn_no, array_to_string(ids, '|') AS ids, variant_hash FROM hashed")
 def turn_chunks(spark, sf_dir):
     return T.variants(_placed(spark, sf_dir)).select("session_id", "leaf_id", "turn_no", F.array_join("raw_entry_ids", "|").alias("ids"), "variant_hash")
 
@@ -171,7 +171,7 @@ def variant_limit(spark, sf_dir):
     return found.select("session_id", "chunk_count", "most_variants", F.when(users != "", users).alias("users"), "variant_limit_hit", "chunk_limit_hit")
 
 
-@query(f"WITH RECURSIVE {TURNS} SELECT session_id, leaf_id, turn_no, last_role = 'assistant' AS closed, turn_no = max(turn_no) OVER (PARTITION BY session_id, leaf_id) AS is_last FROM hashed")
+@query(f"WITH RECURSIVE {TURNS} SELECT session_id, leaf_id, CAST(turn_no AS BIGINT) AS turn_no, last_role = 'assistant' AS closed, turn_no = max(turn_no) OVER (PARTITION BY session_id, leaf_id) AS is_last FROM hashed")
 def turn_status(spark, sf_dir):
     return T.variants(_placed(spark, sf_dir)).select("session_id", "leaf_id", "turn_no", "closed", "is_last")
 
@@ -329,7 +329,7 @@ def _paired(spark):
     return TL.pair_results(calls, spark.createDataFrame(_RESULTS, "chunk_id string, ord int, entry_id string, tool_call_id string, text string, is_error boolean"))
 
 
-@query("SELECT * FROM (VALUES ('t1', 1, 'r2', 'one', 1), ('t2', 1, NULL, '', 0), ('t3', 3, 'r6', 'again', 2), ('t1', 3, 'r4', 'bad', 1), ('t4', 5, NULL, '', 0), ('t5', 5, NULL, '', 0)) t(tool_call_id, ord, result_entry_id, result_text, results)")
+@query("SELECT * REPLACE (CAST(results AS BIGINT) AS results) FROM (VALUES ('t1', 1, 'r2', 'one', 1), ('t2', 1, NULL, '', 0), ('t3', 3, 'r6', 'again', 2), ('t1', 3, 'r4', 'bad', 1), ('t4', 5, NULL, '', 0), ('t5', 5, NULL, '', 0)) t(tool_call_id, ord, result_entry_id, result_text, results)")
 def tool_pairing(spark, sf_dir):
     return _paired(spark).select("tool_call_id", "ord", "result_entry_id", "result_text", "results")
 
@@ -347,7 +347,7 @@ def entity_dedupe(spark, sf_dir):
     return E.dedupe_entities(rows.withColumn("seq", F.row_number().over(order))).select("conv_id", "normalized_value", "value")
 
 
-@query("SELECT * FROM (VALUES ('compaction', 'chunk', 'short', 0.5), ('branch_summary', 'session', 'left', 0.55), ('custom_message', 'chunk', 'note', 0.45)) t(evidence_type, evidence_scope, text, confidence)")
+@query("SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM (VALUES ('compaction', 'chunk', 'short', 0.5), ('branch_summary', 'session', 'left', 0.55), ('custom_message', 'chunk', 'note', 0.45)) t(evidence_type, evidence_scope, text, confidence)")
 def evidence_scope(spark, sf_dir):
     rows = [("compaction", "short", None, None), ("branch_summary", "left", None, None), ("branch_summary", "", None, None), ("custom_message", None, "note", "other"), ("custom_message", None, "own", "turnstone-hint"), ("message", None, "x", None)]
     found = EV.evidence(spark.createDataFrame(rows, "type string, summary string, content string, custom_type string"))
@@ -391,7 +391,7 @@ def _fts(spark, sf_dir, wanted):
 lens AS (SELECT chunk_id, count(*) AS len FROM post GROUP BY chunk_id), s AS (SELECT (SELECT count(*) FROM conversations) AS n, count(*) / (SELECT count(*) FROM conversations) AS avgdl FROM post),
 f AS (SELECT token, chunk_id, count(*) AS f FROM post GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM f GROUP BY token),
 scored AS (SELECT q.qid, f.chunk_id, -sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN f USING (token) JOIN d USING (token) JOIN lens USING (chunk_id), s GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), chunk_id) AS rank FROM scored) SELECT qid, chunk_id, round(score, 4) AS score, rank FROM top WHERE rank <= 50""")
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), chunk_id) AS rank FROM scored) SELECT qid, chunk_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 50""")
 def bm25_top50(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), X.latin_fold("text").alias("t"))
     terms = items.select("qid", F.lit("latin").alias("source"), F.posexplode(F.regexp_extract_all("t", F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("phrase_no", "term"))
@@ -494,14 +494,14 @@ def siblings(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {_SQL_RESULTS}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, end_ts DESC, chunk_id) AS p FROM res),
 g AS (SELECT *, row_number() OVER (PARTITION BY qid, session_id, user_entry_id ORDER BY p) AS k, array_to_string(list_filter(list(chunk_id) OVER (PARTITION BY qid, session_id, user_entry_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), lambda x: x <> chunk_id), ',') AS sibling_ids FROM o),
-t AS (SELECT qid, chunk_id, sibling_ids, row_number() OVER (PARTITION BY qid ORDER BY p) AS place FROM g WHERE k = 1) SELECT * FROM t WHERE place <= 5""")
+t AS (SELECT qid, chunk_id, sibling_ids, row_number() OVER (PARTITION BY qid ORDER BY p) AS place FROM g WHERE k = 1) SELECT * REPLACE (CAST(place AS INTEGER) AS place) FROM t WHERE place <= 5""")
 def collapse_groups(spark, sf_dir):
     rows = _results(spark, sf_dir)
     top = R.collapse(rows.join(R.siblings(rows), "chunk_id", "left"), 5)
     return top.select("qid", "chunk_id", F.array_join(F.array_sort("sibling_ids"), ",").alias("sibling_ids"), "place")
 
 
-@query("SELECT doc_id, n_chars, rank FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars >= 40) WHERE rank <= 20")
+@query("SELECT doc_id, n_chars, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars >= 40) WHERE rank <= 20")
 def threshold_topk(spark, sf_dir):
     order = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     return table(spark, sf_dir, "documents").filter("n_chars >= 40").withColumn("rank", F.row_number().over(order)).filter("rank <= 20").select("doc_id", "n_chars", "rank")
