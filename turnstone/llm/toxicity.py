@@ -155,7 +155,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float,
 
 
 def held_out(key: str = "doc_id"):
-    return (F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 5) == 0
+    return F.coalesce((F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 5) == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, most_entries: int = 4096, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
