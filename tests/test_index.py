@@ -197,3 +197,37 @@ def test_stream_refreshes(spark, tmp_path, project):
     index = Index(spark, str(tmp_path / "i"), project)
     follow(index, str(tmp_path / "l"), str(tmp_path / "c"), available_now=True).awaitTermination(120)
     assert index.tables()["chunks"].count() == 2
+
+
+def test_replaced_content_is_seen_by_content(spark, tmp_path, project):
+    import os
+
+    from turnstone.operators import manifest
+
+    write(tmp_path / "l", "a.jsonl", delivery("a"))
+    at = tmp_path / "l" / "a.jsonl"
+    was = {b: S.list_files(spark, str(tmp_path / "l"), by_content=b).collect() for b in (False, True)}
+    stat = at.stat()
+    at.write_text(at.read_text().replace("Running", "Walking"))
+    os.utime(at, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    for by_content, seen in ((False, "unchanged"), (True, "modified")):
+        now = S.list_files(spark, str(tmp_path / "l"), by_content=by_content)
+        assert manifest.manifest_diff(spark.createDataFrame(was[by_content], now.schema), now).first()["change"] == seen
+
+
+def test_commands(spark, tmp_path):
+    from turnstone.plans import commands
+    from turnstone.plans.index import index_path
+
+    root = tmp_path / "p"
+    root.mkdir()
+    write(tmp_path / "l", "a.jsonl", [header("a", str(root)), message("u", None, "user", "where is the parser"), message("v", "u", "assistant", [text("In `parse_tree`.")])])
+    history = commands.history_of(spark, str(root), str(tmp_path / "l"))
+    assert str(history.index.path) == index_path(str(root), "/nowhere") and commands.history_of(spark, str(root), str(tmp_path / "l")) is history
+    found = history.search_project_history("parser", now_ms=0).collect()
+    assert [r["user_entry_id"] for r in found] == ["u"] and list(found[0]["symbols"]) == ["parse_tree"]
+    assert history.read_project_history(found[0]["chunk_id"]).first()["assistant_text"] == "In `parse_tree`."
+    assert history.status().first()["chunks"] == 1
+    assert history.clear() and history.read_project_history("x") is None
+    assert commands.main(["off", "--root", str(root), "--logs", "l", "--index", "i"]) == 0
+    commands.forget()

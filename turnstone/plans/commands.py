@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnstone.plans import search as Q
 from turnstone.plans import settings
-from turnstone.plans.index import Index, Refresh
+from turnstone.plans.index import Index, Refresh, index_path
 from turnstone.plans.settings import Settings
 from turnstone.sources import sessions as S
 
@@ -58,6 +58,23 @@ class History:
         return self.index.clear()
 
 
+_OPEN: dict[tuple[str, str], History] = {}
+
+
+def history_of(spark: SparkSession, root: str, folder: str, path: str | None = None, settings: Settings | None = None) -> History:
+    """The history of a project, opened once for each project and index."""
+    path = path or index_path(root, os.path.expanduser("~"))
+    key = (S.project_of(root).project_id, path)
+    if key not in _OPEN or _OPEN[key].index.spark is not spark:
+        _OPEN[key] = History(spark, root, folder, path, settings)
+    return _OPEN[key]
+
+
+def forget() -> None:
+    """Close all histories that are open."""
+    _OPEN.clear()
+
+
 def main(arguments: list[str] | None = None) -> int:
     """Command line: query, status, settings, rebuild, clear, on, off."""
     import argparse

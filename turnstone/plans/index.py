@@ -12,7 +12,7 @@ import os
 import shutil
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,8 @@ from turnstone.plans.staging import Staging
 from turnstone.sources import sessions as S
 
 VERSIONS = {"schema_version": "1", "extractor_version": "1", "redaction_version": "1"}
+#: Fixed value: how often files that change meanwhile are read.
+READS = 3
 BY_SESSION = {"chunks": "session_id", "evidence": "session_id"}
 
 
@@ -48,8 +50,8 @@ class Refresh:
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str, project: S.Project):
-        self.spark, self.path, self.project = spark, Path(path), project
+    def __init__(self, spark: SparkSession, path: str, project: S.Project, by_content: bool = False):
+        self.spark, self.path, self.project, self.by_content = spark, Path(path), project, by_content
         meta = self.meta()
         if meta:
             for key, own in (("project_id", project.project_id), ("root", project.root)):
@@ -94,21 +96,34 @@ class Index:
         began = time.time()
         try:
             out = self._refresh(folder, active_id)
+            # Files that changed while they were read are read again, but for the active session, which goes on changing.
+            for _ in range(READS - 1):
+                if not self._changed(folder):
+                    break
+                again = self._refresh(folder, active_id)
+                out = replace(again, **{c: getattr(out, c) + getattr(again, c) for c in ("added", "modified", "deleted")})
         finally:
             lease.release()
         out.seconds = time.time() - began
         return out
 
+    def _changed(self, folder: str) -> bool:
+        tables = self.tables()
+        if tables is None:
+            return False
+        diff = M.manifest_diff(tables["sessions"], S.list_files(self.spark, folder, self.by_content)).filter("change <> 'unchanged'")
+        return not diff.join(tables["sessions"].filter("is_active").select("source_path"), "source_path", "left_anti").isEmpty()
+
     def _refresh(self, folder: str, active_id: str | None) -> Refresh:
         old = self.tables()
-        listed = S.list_files(self.spark, folder)
+        listed = S.list_files(self.spark, folder, self.by_content)
         if old is None:
             counts = {"added": listed.count(), "unchanged": 0, "modified": 0, "deleted": 0}
         else:
             counts = M.diff_counts(M.manifest_diff(old["sessions"], listed)).first().asDict()
             if not counts["added"] + counts["modified"] + counts["deleted"] and self.meta().get("active") == active_id:
                 return Refresh(**counts, chunks=old["chunks"].count())
-        sessions, entries = S.read_sessions(self.spark, folder, self.project, active_id)
+        sessions, entries = S.read_sessions(self.spark, folder, self.project, active_id, self.by_content)
         if old is not None:
             diff = M.manifest_diff(old["sessions"], listed)
             # A session that is or was active is read again: its last turn's status depends on that.
@@ -171,3 +186,13 @@ def check(tables: dict[str, DataFrame]) -> dict[str, int]:
         "double_chunks": chunks.groupBy("chunk_id").count().filter("count > 1").count(),
         "chunks_without_session": M.orphans(chunks, tables["sessions"], "session_id", "session_id").count(),
     }
+
+
+def index_path(root: str, home: str) -> str:
+    """Where a project's index goes: below the project where that can be written to, else below the user's folder by the project's id."""
+    own = os.path.join(root, ".turnstone")
+    try:
+        os.makedirs(own, exist_ok=True)
+    except OSError:
+        return os.path.join(home, ".turnstone", S.project_of(root).project_id)
+    return os.path.join(own, "index") if os.access(own, os.W_OK) else os.path.join(home, ".turnstone", S.project_of(root).project_id)

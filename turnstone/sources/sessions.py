@@ -52,19 +52,26 @@ def fingerprint(path: Column, mtime_ns: Column, size: Column) -> Column:
     return F.sha2(F.concat_ws("|", path, mtime_ns.cast("string"), size.cast("string")), 256)
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """source_path, mtime_ns, size_bytes, fingerprint of the .jsonl files of a folder; a missing folder has none."""
-    return _files(spark, folder).drop("content")
+def list_files(spark: SparkSession, folder: str, by_content: bool = False) -> DataFrame:
+    """source_path, mtime_ns, size_bytes, fingerprint of the .jsonl files of a folder; a missing folder has none.
 
+    Fingerprints are of path, time and size, so a listing reads no file. ``by_content`` reads them all, and sees a file
+    that was replaced by another of the same size and time.
+    """
+    return _files(spark, folder, by_content).drop("content")
 
-def _files(spark: SparkSession, folder: str) -> DataFrame:
+
+def _files(spark: SparkSession, folder: str, by_content: bool = False) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(folder)
     if not at.getFileSystem(conf).exists(at):
         return spark.createDataFrame([], "source_path string, mtime_ns string, size_bytes bigint, fingerprint string, content binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
     mtime = (F.unix_micros("modificationTime") * 1000).cast("string")
-    return files.select(F.col("path").alias("source_path"), mtime.alias("mtime_ns"), F.col("length").alias("size_bytes"), fingerprint(F.col("path"), mtime, F.col("length")).alias("fingerprint"), "content")
+    mark = fingerprint(F.col("path"), mtime, F.col("length"))
+    if by_content:
+        mark = F.sha2(F.concat_ws("|", mark, F.sha2("content", 256)), 256)
+    return files.select(F.col("path").alias("source_path"), mtime.alias("mtime_ns"), F.col("length").alias("size_bytes"), mark.alias("fingerprint"), "content")
 
 
 def _text(value: str) -> Column:
@@ -101,9 +108,9 @@ def lines(files: DataFrame) -> DataFrame:
     return rows.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).drop("line")
 
 
-def read_sessions(spark: SparkSession, folder: str, project: Project, active_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_sessions(spark: SparkSession, folder: str, project: Project, active_id: str | None = None, by_content: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sessions, entries) of the files of a folder that belong to the project."""
-    rows = lines(_files(spark, folder))
+    rows = lines(_files(spark, folder, by_content))
     is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
     kind, key = F.try_variant_get("v", "$.type", "string"), F.try_variant_get("v", "$.id", "string")
     key = F.when(F.schema_of_variant(F.try_variant_get("v", "$.id", "variant")) == "STRING", key)
