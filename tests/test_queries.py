@@ -42,3 +42,11 @@ def test_no_other_module_imports_the_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "turnstone.llm" not in p.read_text()
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert {r["qid"] for r in rows} <= {"en", "de", "fr", "es"} and rows
+    assert set(Q.ORACLE_SQL) <= set(__spark_entry__.queries())
