@@ -24,6 +24,10 @@ SECRETS = [
     (rf"{EDGE}[A-Za-z0-9+/]{{40,}}=?=?{EDGE}", "[REDACTED_BLOB]"),
 ]
 
+#: What a text must hold, in lower case, for the pattern of the same place to match; the last is a pattern of its own.
+SECRET_HINTS = [("-----begin ",), ("sk-",), ("ghp_",), ("xox",), ("bearer",), ("key", "token", "password", "secret"), None]
+LONG_RUN = "[A-Za-z0-9+/]{40}"
+
 #: File names that may hold secrets.
 SENSITIVE_PATH = r"(?i)(?:^|/)(?:\.env(?:\..+)?|credentials(?:\.json)?|\.npmrc|\.netrc|id_rsa|id_ed25519|.*\.(?:pem|key|p12|pfx))$"
 

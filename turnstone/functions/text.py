@@ -64,19 +64,31 @@ def query_tokens(text: Column | str) -> Column:
 
 
 def mask_secrets(text: Column | str) -> Column:
-    out = col(text)
-    for pattern, label in P.SECRETS:
-        out = F.regexp_replace(out, pattern, label)
+    """Secrets replaced, pattern after pattern. A pattern whose hint the text lacks is not searched for: one that never matches stands in."""
+    text = col(text)
+    lower, out = F.lower(text), text
+    for (pattern, label), hint in zip(P.SECRETS, P.SECRET_HINTS, strict=True):
+        able = text.rlike(P.LONG_RUN)
+        if hint:
+            able = F.contains(lower, F.lit(hint[0]))
+            for h in hint[1:]:
+                able = able | F.contains(lower, F.lit(h))
+        out = F.regexp_replace(out, F.when(able, F.lit(pattern)).otherwise(F.lit(r"\A(?!)")), F.lit(label))
     return out
 
 
-def redact(text: Column | str, most: int = 12_000) -> Column:
-    """Secrets replaced, then cut with a note of how much is gone; null is empty."""
-    out = mask_secrets(F.coalesce(col(text), F.lit("")))
+def cut(text: Column | str, most: int) -> Column:
+    """The first characters with a note of how much is gone."""
+    out = col(text)
     n = F.char_length(out)
     return F.when(n > most, F.concat(F.substring(out, 1, most), F.lit("\n…[truncated "), (n - most).cast("string"), F.lit(" chars]"))).otherwise(out)
 
 
+def redact(text: Column | str, most: int = 12_000) -> Column:
+    """Secrets replaced, then cut; null is empty. For long texts mask into a column first, and cut that."""
+    return cut(mask_secrets(F.coalesce(col(text), F.lit(""))), most)
+
+
 def clip(text: Column | str, most: int) -> Column:
     out = F.coalesce(col(text), F.lit(""))
     return F.when(F.char_length(out) <= most, out).otherwise(F.concat(F.substring(out, 1, most), F.lit("…")))

@@ -54,7 +54,7 @@ def _entities(kind: str, found: Column, value: Column | None, root: Column, conf
             F.lit(kind).alias("entity_type"),
             shown.alias("value"),
             F.lower(X.strip(shown)).alias("normalized_value"),
-            X.redact(e["context"], P.MAX_CONTEXT).alias("context"),
+            X.mask_secrets(e["context"]).alias("context"),
             F.lit(confidence).alias("confidence"),
         )
 
@@ -62,11 +62,9 @@ def _entities(kind: str, found: Column, value: Column | None, root: Column, conf
 
 
 def path_entities(found: Column | str, root: Column, confidence: float = 0.7) -> Column:
-    """File paths of a text (``find_paths``), once each, without those that may hold secrets."""
+    """File paths of a text (``find_paths``) without those that may hold secrets. Paths written in two ways may show alike: ``dedupe_entities`` keeps the first."""
     found = F.filter(X.col(found), lambda e: ~X.is_sensitive(e["value"]))
-    made = _entities("file_path", found, None, root, confidence)
-    # Paths written in two ways may show alike: the first stands.
-    return F.filter(made, lambda e, i: F.array_position(F.transform(made, lambda x: x["normalized_value"]), e["normalized_value"]) == (i + 1).cast("long"))
+    return _entities("file_path", found, None, root, confidence)
 
 
 def symbol_entities(found: Column | str, confidence: float = 0.6) -> Column:

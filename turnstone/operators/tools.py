@@ -21,36 +21,39 @@ def shell_kind(command: Column | str) -> Column:
     return F.when(c.rlike(P.SHELL_GREP), "grep").when(c.rlike(P.SHELL_FIND), "find").when(c.rlike(P.SHELL_LIST), "list").when(c.rlike(P.SHELL_TEST), "verification").otherwise("bash")
 
 
-def step_type(name: Column, arguments: Column, is_error: Column) -> Column:
+def with_given(calls: DataFrame) -> DataFrame:
+    """Calls with given_path, given_pattern and given_command from their arguments, as columns that are made once."""
+    names = {"given_path": PATH_NAMES, "given_pattern": PATTERN_NAMES, "given_command": COMMAND_NAMES}
+    return calls.withColumns({c: X.first_of("arguments", n) for c, n in names.items()}).withColumn("is_hidden", X.is_sensitive("given_path"))
+
+
+def step_type(name: Column, command: Column, is_error: Column) -> Column:
     lower = F.lower(name)
-    shell = shell_kind(F.coalesce(X.first_of(arguments, COMMAND_NAMES), F.lit("")))
+    shell = shell_kind(F.coalesce(command, F.lit("")))
     return F.when(lower.isin("read", "grep", "find", "edit", "write"), lower).when(lower == "ls", "list").when(lower.isin("bash", "shell"), shell).when(is_error, "error").otherwise("tool")
 
 
-def target(name: Column, arguments: Column, root: Column) -> Column:
-    """What a call works on, without secrets: sensitive paths are named as such only."""
+def target(name: Column, root: Column) -> Column:
+    """What a call ``with_given`` works on; a sensitive path is named as such only. Secrets are still to be masked."""
     lower = F.lower(name)
-    path, pattern, command = (X.first_of(arguments, n) for n in (PATH_NAMES, PATTERN_NAMES, COMMAND_NAMES))
-    hidden = F.when(X.is_sensitive(path), F.lit("[SENSITIVE_PATH]")).otherwise(path)
-    shown = F.when(X.is_sensitive(path), F.lit("[SENSITIVE_PATH]")).otherwise(X.display_path(path, root))
-    both = F.concat_ws(" in ", F.filter(F.array(pattern, hidden), lambda x: x.isNotNull()))
-    both = F.when(both == "", lower).otherwise(both)
+    path, pattern, command, hidden = (F.col(c) for c in ("given_path", "given_pattern", "given_command", "is_hidden"))
+    plain = F.when(hidden, F.lit("[SENSITIVE_PATH]")).otherwise(path)
+    shown = F.when(hidden, F.lit("[SENSITIVE_PATH]")).otherwise(X.display_path(path, root))
+    both = F.coalesce(F.nullif(F.concat_ws(" in ", pattern, plain), F.lit("")), lower)
     made = F.when(lower.isin("read", "edit", "write"), F.coalesce(shown, lower)).when(lower.isin("grep", "find"), both).when(lower == "ls", F.coalesce(shown, F.lit(".")))
-    made = made.when(lower.isin("bash", "shell"), F.coalesce(X.clip(command, 240), F.lit("bash"))).otherwise(F.coalesce(hidden, pattern, name))
-    return X.mask_secrets(made)
+    return made.when(lower.isin("bash", "shell"), F.coalesce(F.nullif(X.clip(command, 240), F.lit("")), F.lit("bash"))).otherwise(F.coalesce(plain, pattern, name))
 
 
 def with_found(calls: DataFrame) -> DataFrame:
-    """Calls with what their pattern and command hold: columns pattern_symbols, command_paths, command_symbols."""
-    given = calls.withColumn("_pattern", X.first_of("arguments", PATTERN_NAMES)).withColumn("_command", X.first_of("arguments", COMMAND_NAMES))
-    found = {"pattern_symbols": E.find_symbols("_pattern"), "command_paths": E.find_paths("_command"), "command_symbols": E.find_symbols("_command")}
-    return given.withColumns(found).drop("_pattern", "_command")
+    """Calls ``with_given`` and what their pattern and command hold: columns pattern_symbols, command_paths, command_symbols."""
+    found = {"pattern_symbols": E.find_symbols("given_pattern"), "command_paths": E.find_paths("given_command"), "command_symbols": E.find_symbols("given_command")}
+    return with_given(calls).withColumns(found)
 
 
 def call_entities(name: Column, arguments: Column, root: Column) -> Column:
     """Entities that a call's arguments name, in order; for calls ``with_found``."""
     lower = F.lower(name)
-    path = X.first_of(arguments, PATH_NAMES)
+    path = F.col("given_path")
     by_path = E.path_argument(path, root)
     other = F.filter(F.map_entries(arguments), lambda e: F.contains(F.lower(e["key"]), F.lit("path")) | F.contains(e["value"], F.lit("/")))
     others = F.flatten(F.transform(other, lambda e: E.path_argument(e["value"], root)))
@@ -94,7 +97,10 @@ def pair_results(calls: DataFrame, results: DataFrame, within: str = "chunk_id")
 
 def trace_steps(paired: DataFrame, root: Column, within: str = "chunk_id") -> DataFrame:
     """One step for each call and a further one, of type error, behind a call that failed; step_order from 1."""
-    made = paired.select(
+    given = with_given(paired).withColumn("target", target(F.col("tool_name"), root))
+    given = given.withColumns({"target": X.mask_secrets("target"), "outcome": X.mask_secrets("result_text"), "arguments_json": safe_arguments(F.col("arguments"))})
+    given = given.withColumn("outcome", X.cut("outcome", P.MAX_OUTCOME))
+    made = given.select(
         within,
         "ord",
         "sub",
@@ -103,10 +109,10 @@ def trace_steps(paired: DataFrame, root: Column, within: str = "chunk_id") -> Da
         "tool_call_id",
         "tool_name",
         "is_error",
-        safe_arguments(F.col("arguments")).alias("arguments_json"),
-        step_type(F.col("tool_name"), F.col("arguments"), F.col("is_error")).alias("step_type"),
-        target(F.col("tool_name"), F.col("arguments"), root).alias("target"),
-        X.clip(X.redact("result_text", P.MAX_OUTCOME), P.MAX_OUTCOME).alias("outcome"),
+        "arguments_json",
+        step_type(F.col("tool_name"), F.col("given_command"), F.col("is_error")).alias("step_type"),
+        "target",
+        X.clip("outcome", P.MAX_OUTCOME).alias("outcome"),
         F.when(F.col("is_error"), "error").when(F.col("result_entry_id").isNotNull(), "success").otherwise("unknown").alias("status"),
     )
     step = F.struct(F.lit(0).alias("extra"), F.col("entry_id").alias("source_entry_id"), F.col("step_type").alias("kind"), F.col("arguments_json").alias("given"))

@@ -61,6 +61,10 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
     chunks = distinct.join(active, "session_id", "left").withColumn("_active", F.coalesce("_active", F.lit(False))) if active is not None else distinct.withColumn("_active", F.lit(False))
     for part in (user, told, numbers, own):
         chunks = chunks.join(part, "chunk_id", "left")
+    # Step by step, so that no text is masked twice.
+    for name, source in (("_user", "user"), ("_assistant", "assistant")):
+        chunks = chunks.withColumn(name, X.mask_secrets(F.coalesce(source, F.lit(""))))
+    chunks = chunks.withColumns({n: X.cut(n, 12_000) for n in ("_user", "_assistant")})
     chunks = chunks.select(
         "chunk_id",
         F.lit(project.project_id).alias("project_id"),
@@ -73,8 +77,8 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
         "start_ts",
         F.when(F.col("last_ts") != 0, F.col("last_ts")).otherwise(F.col("start_ts")).alias("end_ts"),
         status.alias("status"),
-        X.clip(X.redact("user"), P.MAX_USER_TEXT).alias("user_text"),
-        X.clip(X.redact("assistant"), P.MAX_ASSISTANT_TEXT).alias("assistant_text"),
+        X.clip("_user", P.MAX_USER_TEXT).alias("user_text"),
+        X.clip("_assistant", P.MAX_ASSISTANT_TEXT).alias("assistant_text"),
         F.coalesce("tool_call_count", F.lit(0)).alias("tool_call_count"),
         F.coalesce("paired_result_count", F.lit(0)).alias("paired_result_count"),
         "raw_entry_ids",
