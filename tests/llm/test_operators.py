@@ -420,3 +420,14 @@ def test_licenses(spark, empty):
     assert got == want
     assert {d for d, _ in got} == {*range(len(names)), None}
     assert licenses.scan(empty).collect() == []
+
+
+def test_short_license_line(spark):
+    rng = random.Random(9)
+    line = "All rights reserved."
+    texts = [(i, f"{sentence(rng, 3 * i)}\n{line if i % 2 else line.upper()}\n{sentence(rng, 120 - i)}") for i in range(60)]
+    texts += [(100, line), (101, "all rights are reserved"), (102, "rights reserved")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got.keys() == {*range(60), 100}
+    assert all(r["license"] == "all-rights-reserved-line" and r["containment"] == 1 for r in got.values())
+    assert all(got[i]["first_word"] == len(re.findall(r"[^\W_]+", texts[i][1].split("\n")[0])) for i in range(60))

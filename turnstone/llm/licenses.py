@@ -1,13 +1,18 @@
 """License scans with DataFrame functions alone.
 
 A text's words are the runs of letters and digits, in lower case; its shingles are hashes of three words. A window is two
-neighbouring blocks of 8 shingles, and windows overlap by a block, so a notice of up to 9 shingles lies whole in one, and
-of a longer one some window holds 12 or more that follow one another. The MinHash of a window: for each band
+neighbouring blocks of 8 shingles, and windows overlap by a block, so of a notice longer than a window some window holds
+12 or more shingles that follow one another. The MinHash of a window: for each band
 the least shingle hash under that band's exclusive-or mask, found from the minima of its two blocks. A band is one
-value; a template's windows at every place go into the bands' value sets. With 16 bands a window that is alike
-to a template's window by 5/16 (a notice of seven words) meets it with probability 0.997, by 1/2 with 0.99998.
+value; a template's windows at every place go into the bands' value sets.
+
+A template of one window or less (down to one shingle, "All rights reserved.") would be alike to a text's window by a small
+share only, so it is looked up without bands: of its n distinct shingles a text that holds the asked share lacks at most
+n - ceil(share * n), so any one more of them has one that stands in the text. Each place of such a shingle
+retrieves the template; none is missed.
+
 Retrieved templates are confirmed by exact containment: the share of the template's shingles that stand in
-the stretch of the template's length to both sides of the window.
+the stretch of the template's length to both sides of the window or shingle.
 
 Null texts and texts of fewer than three words hold nothing. Repeated rows give repeated results, an empty table
 none. The key may be null. Further columns don't matter.
@@ -40,6 +45,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "all-rights-reserved-line": "All rights reserved.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
 }
 
@@ -75,9 +81,14 @@ def scan(docs: DataFrame, containment: float = 0.8, templates: dict[str, str] |
     known = known.select("license", F.explode(F.array(word_array(F.col("notice")))).alias("words")).select("license", shingle_array(F.col("words")).alias("own")).filter("size(own) > 0")
     per_window = 2 * BLOCK
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("own") - per_window))
-    windows = known.select("license", F.explode(F.transform(starts, lambda i: _stretch(F.col("own"), i, per_window))).alias("part"))
-    bands = windows.select("license", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(F.col("part"), m).alias("value")) for b, m in enumerate(masks())])).alias("x")).select("license", "x.band", "x.value").distinct()
-    values = [[] for _ in range(BANDS)]
+    short = F.size("own") <= per_window
+    windows = known.filter(~short).select("license", F.explode(F.transform(starts, lambda i: _stretch(F.col("own"), i, per_window))).alias("part"))
+    bands = windows.select("license", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(F.col("part"), m).alias("value")) for b, m in enumerate(masks())])).alias("x")).select("license", "x.band", "x.value")
+    distinct = F.array_distinct("own")
+    may_lack = (F.size(distinct) - F.ceil(F.lit(containment) * F.size(distinct) - 1e-9)).cast("int")
+    certain = known.filter(short).select("license", F.lit(BANDS).alias("band"), F.explode(F.slice(distinct, 1, F.least(may_lack + 1, F.size(distinct)))).alias("value"))
+    bands = bands.union(certain).distinct()
+    values = [[] for _ in range(BANDS + 1)]  # the last: shingles of the short templates
     for r in bands.collect():  # as many as the templates have windows, times the bands
         values[r["band"]].append(r["value"])
 
@@ -91,18 +102,22 @@ def scan(docs: DataFrame, containment: float = 0.8, templates: dict[str, str] |
 
     def meets(i: Column) -> Column:
         out = F.lit(False)
-        for b, known_values in enumerate(values):
+        for b, known_values in enumerate(values[:BANDS]):
             out = out | F.least(F.get(F.get("blocks", i), F.lit(b)), F.get(F.get("blocks", i + 1), F.lit(b))).isin(known_values)
         return out
 
-    met = F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), meets)
-    hits = blocked.select("key", "shingles", "row", F.explode(met).alias("block")).select("key", "shingles", "row", (F.col("block") * BLOCK).alias("at"))
+    met = F.transform(F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), meets), lambda i: F.struct((i * BLOCK).alias("at"), F.lit(per_window).alias("long")))
+    single = F.filter(F.transform("shingles", lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("long"), x.alias("value"))), lambda x: x["value"].isin(values[BANDS]))
+    single = F.transform(single, lambda x: F.struct(x["at"].alias("at"), x["long"].alias("long")))
+    hits = blocked.select("key", "shingles", "row", F.explode(F.concat(met, single)).alias("hit")).select("key", "shingles", "row", "hit.at", "hit.long")
     part = _stretch(F.col("shingles"), F.col("at"), per_window)
-    banded = hits.select("key", "row", "at", "shingles", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(part, m).alias("value")) for b, m in enumerate(masks())])).alias("x"))
-    retrieved = banded.join(F.broadcast(bands), (F.col("x.band") == F.col("band")) & (F.col("x.value") == F.col("value"))).select("key", "row", "at", "license", "shingles")
+    of_window = F.array(*[F.struct(F.lit(b).alias("band"), least(part, m).alias("value")) for b, m in enumerate(masks())])
+    of_shingle = F.array(F.struct(F.lit(BANDS).alias("band"), F.get("shingles", F.col("at")).alias("value")))
+    banded = hits.select("key", "row", "at", "long", "shingles", F.explode(F.when(F.col("long") == 1, of_shingle).otherwise(of_window)).alias("x"))
+    retrieved = banded.join(F.broadcast(bands), (F.col("x.band") == F.col("band")) & (F.col("x.value") == F.col("value"))).select("key", "row", "at", "long", "license", "shingles")
     length = F.size("own")
     begin = F.greatest(F.lit(0), F.col("at") - length)
-    region = _stretch(F.col("shingles"), begin, F.col("at") - begin + per_window + length)
+    region = _stretch(F.col("shingles"), begin, F.col("at") - begin + F.col("long") + length)
     share = F.size(F.array_intersect(F.array_distinct("own"), region)) / F.size(F.array_distinct("own"))
     place = F.array_position(region, F.element_at("own", 1))
     judged = retrieved.join(F.broadcast(known), "license").select("key", "row", "license", share.alias("containment"), F.when(place > 0, begin + place.cast("int") - 1).otherwise(F.col("at")).alias("first_word"))
