@@ -431,3 +431,18 @@ def test_short_license_line(spark):
     assert got.keys() == {*range(60), 100}
     assert all(r["license"] == "all-rights-reserved-line" and r["containment"] == 1 for r in got.values())
     assert all(got[i]["first_word"] == len(re.findall(r"[^\W_]+", texts[i][1].split("\n")[0])) for i in range(60))
+
+
+def test_short_licenses_at_every_place(spark):
+    rng = random.Random(10)
+    names = [n for n, t in sorted(licenses.TEMPLATES.items()) if len(re.findall(r"[^\W_]+", t)) <= 18]
+    assert len(names) >= 7
+    texts, want = [], set()
+    for n in names:
+        for i in range(400):
+            words = licenses.TEMPLATES[n].split()
+            texts.append((len(texts), f"{sentence(rng, 16 + i % 16)} {' '.join(words)} {sentence(rng, 24)}"))
+            want.add((texts[-1][0], n))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(frame).collect()}
+    assert want <= got
