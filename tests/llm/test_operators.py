@@ -318,6 +318,18 @@ def test_outliers_are_found_and_others_kept(spark):
     assert all(r["kept"] for r in got if r["doc_id"] < 1000)
 
 
+def test_texts_with_many_symbols_are_outliers(spark):
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, rng.randrange(60, 200)), "en", "a") for i in range(300)]
+    for i in range(10):
+        t = sentence(rng, 120)
+        marks = round(0.095 * len(t.replace(" ", "")))  # a share of about 0.087 of the characters
+        words = [w + "#" * (k < marks) for k, w in enumerate(t.split())]
+        rows.append((1000 + i, " ".join(words), "en", "a"))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r["kept"] == (r["doc_id"] < 1000) for r in got)
+
+
 def test_toxicity(spark, tmp_path, docs, empty):
     rng = random.Random(8)
     rows, labels = [], []

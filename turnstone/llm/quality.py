@@ -4,7 +4,8 @@ For each language and source the minimum-covariance-determinant estimate of loca
 transformed counts is found by concentration steps over all rows of the group: distances to the present
 estimate fall into fixed bins, the bins up to the ``share`` quantile give the next estimate. A step
 is one aggregation by (group, bin), so a group that holds a third of all rows is summed where its rows are.
-Documents whose squared Mahalanobis distance exceeds the cut-off are rejected.
+Documents whose squared Mahalanobis distance exceeds the cut-off are rejected: 25, chosen on labelled rows by both
+kinds of error (the 0.999 quantile of chi-square with 5 degrees of freedom is 20.5).
 
 Null text counts as empty (no words: fails the base rules). Null languages and sources form groups of their own.
 Groups of fewer than ``least_rows`` documents take the estimate of their language; where that is also small,
@@ -169,7 +170,7 @@ def robust_outliers(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"),
     return features.join(params, "_group", "left").withColumn("distance2", F.when(F.col("n") >= least_rows, distance)).drop("_group", "n", *NAMES, *[f"c{i}" for i in range(P)], *[f"a{i}_{j}" for i, j in PAIRS])
 
 
-def quality(docs: DataFrame, cut_off: float = 40.0, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def quality(docs: DataFrame, cut_off: float = 25.0, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """key, the counts, base_failed, distance2 and kept of every document."""
     all_rows = written(statistics(docs, key, text, by).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "counts")
     judged = robust_outliers(all_rows.filter("not base_failed"), by)
