@@ -410,6 +410,32 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontamination.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_by_short_items(spark):
+    rng = random.Random(16)
+    items = [(n, [f"w{rng.randrange(6)}" for _ in range(n)]) for n in range(1, 8)] + [(10 + n, [f"v{n}x{k}" for k in range(n)]) for n in range(1, 8)]
+    texts = [(i, [f"w{rng.randrange(6)}" for _ in range(rng.randrange(0, 25))]) for i in range(150)]
+    for n, w in items:
+        texts += [(1000 + 10 * n, w), (1001 + 10 * n, ["a", *w, "b"]), (1002 + 10 * n, ["a", *w[:-1]]), (1003 + 10 * n, [*w[: n % 10 // 2], "z", *w[n % 10 // 2 :]]), (1004 + 10 * n, ["q", *w[1:], "q"])]
+
+    def distance(item, text):
+        row = [0] * (len(text) + 1)
+        for a, x in enumerate(item, 1):
+            new = [a]
+            for b, y in enumerate(text, 1):
+                new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    want = {(d, i): e for d, t in texts for i, w in items if (e := distance(w, t)) <= len(w) // 5}
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = decontamination.contamination(frame, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and len(got) == len(want)
+    said = dict(texts)
+    assert all(said[r["doc_id"]][r["start_word"] : r["end_word"]] == dict(items)[r["item_id"]] for r in got if r["edits"] == 0)
+    assert {r["doc_id"] for r in decontamination.clean(frame, bench).collect()} == said.keys() - {d for d, _ in want}
+
+
 def test_licenses(spark, empty):
     rng = random.Random(7)
     names = sorted(licenses.TEMPLATES)

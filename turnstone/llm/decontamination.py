@@ -11,8 +11,9 @@ Only windows that can match are embedded: of an item's three-word grams at least
 unchanged around any match, and grams of no item count nothing. That loses no match.
 
 Items come in blocks of bounded size, each held against all documents in one pass without a shuffle; a
-benchmark of any size is more passes. Null texts and texts without words match nothing; items of fewer than
-``least_words`` words aren't searched for. Repeated rows give repeated results; further columns don't matter.
+benchmark of any size is more passes. Items of fewer than ``least_words`` words are searched for without embeddings: of an
+item cut into floor(n * edits) + 1 pieces one stands unchanged in any match, so the places of all pieces are
+looked up and held against the item; none is missed. Null texts and texts without words match nothing. Repeated rows give repeated results; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -88,6 +89,19 @@ def edit_match(item: np.ndarray, stretch: np.ndarray, most: int) -> tuple[int, i
     return (int(cost[end]), int(origin[end]), end) if cost[end] <= most else None
 
 
+def least_edits(item: np.ndarray, stretches: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Least edits between the item and any part of each stretch (a row of words; ``inside``: which of them count)."""
+    cost = np.zeros((len(stretches), stretches.shape[1] + 1), np.int64)
+    for i, word in enumerate(item.tolist(), 1):
+        new = np.empty_like(cost)
+        new[:, 0] = i
+        change = cost[:, :-1] + ((stretches != U64(word)) | ~inside)
+        for j in range(1, cost.shape[1]):
+            new[:, j] = np.minimum(np.minimum(change[:, j - 1], cost[:, j] + 1), new[:, j - 1] + 1)
+        cost = new
+    return cost.min(1)
+
+
 @dataclass
 class Tables:
     """Items of a block and their LSH tables, by number of words."""
@@ -100,6 +114,8 @@ class Tables:
     walks: int = 10
     agreement: float = 0.35
     seed: int = 29
+    least_words: int = 8
+    pieces: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
     places: dict[int, list[tuple[int, np.ndarray]]] = field(default_factory=dict)
     tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
@@ -116,7 +132,13 @@ class Tables:
         rng = np.random.default_rng(self.seed)
         by_size: dict[int, list[int]] = {}
         for i, words in enumerate(self.items):
-            by_size.setdefault(len(words), []).append(i)
+            if len(words) >= max(GRAM, self.least_words):
+                by_size.setdefault(len(words), []).append(i)
+                continue
+            cuts = np.linspace(0, len(words), self.most(len(words)) + 2).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    self.pieces.setdefault(b - a, {}).setdefault(int(rolling(words[a:b], b - a)[0]), []).append((i, a))
         grams, at = [], []
         for n, members in by_size.items():
             flat = np.concatenate([self.items[i] for i in members])
@@ -153,6 +175,44 @@ class Tables:
 
     def matches(self, words: np.ndarray, borders: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of the best match of each item in each text."""
+        return sorted(self.short_matches(words, borders) + self.long_matches(words, borders))
+
+    def short_matches(self, words: np.ndarray, borders: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Those of the items of fewer than ``least_words`` words."""
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for size, known in self.pieces.items():
+            if len(words) < size:
+                continue
+            hashes = rolling(words, size)
+            keys = np.array(sorted(known), np.uint64)
+            place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == hashes)
+            text = np.searchsorted(borders[1:], hit, "right")
+            whole = hit + size <= borders[text + 1]
+            hit, text, place = hit[whole], text[whole], place[hit[whole]]
+            order = np.argsort(place, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                for i, offset in known[int(keys[place[part[0]]])] if len(part) else ():
+                    item, most = self.items[i], self.most(len(self.items[i]))
+                    t = text[part]
+                    first = np.maximum(hit[part] - offset - most, borders[t])
+                    last = np.minimum(hit[part] - offset + len(item) + most, borders[t + 1])
+                    for a in range(0, len(part), 1 << 16):
+                        t_, low, high = t[a : a + (1 << 16)], first[a : a + (1 << 16)], last[a : a + (1 << 16)]
+                        at = low[:, None] + np.arange(len(item) + 2 * most)
+                        edits = least_edits(item, words[np.minimum(at, len(words) - 1)], at < high[:, None])
+                        ranked = np.lexsort((low, edits, t_))
+                        best = ranked[np.unique(t_[ranked], return_index=True)[1]]
+                        for x in best[edits[best] <= most].tolist():
+                            got, to = (int(edits[x]), int(low[x]), int(high[x])), (int(t_[x]), i)
+                            found[to] = min(found.get(to, got), got)
+        out = []
+        for (t, i), (_, low, high) in found.items():
+            edits, start, end = edit_match(self.items[i], words[low:high], self.most(len(self.items[i])))
+            out.append((t, i, edits, low - int(borders[t]) + start, low - int(borders[t]) + end))
+        return out
+
+    def long_matches(self, words: np.ndarray, borders: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         if not len(self.grams):
             return []
         hashes = rolling(words, GRAM)
@@ -218,8 +278,8 @@ def item_blocks(benchmark: DataFrame, least_words: int, edits: float, recall: fl
             return
         words, borders = words_of(pa.array([r[1] for r in block], pa.string()))
         items = [(r[0], words[borders[i] : borders[i + 1]]) for i, r in enumerate(block)]
-        items = [(i, w) for i, w in items if len(w) >= max(GRAM, least_words)]
-        yield Tables([i for i, _ in items], [w for _, w in items], edits, recall).build()
+        items = [(i, w) for i, w in items if len(w)]
+        yield Tables([i for i, _ in items], [w for _, w in items], edits, recall, least_words=least_words).build()
         if len(block) < BLOCK_ITEMS:
             return
         last = block[-1][0]
