@@ -436,6 +436,16 @@ def test_decontamination_by_short_items(spark):
     assert {r["doc_id"] for r in decontamination.clean(frame, bench).collect()} == said.keys() - {d for d, _ in want}
 
 
+def test_blocks_of_items_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 3)
+    items = [(i, " ".join(f"{'abcd'[j]}{i}x{k}" for k in range(10))) for i in (None, 1, 2, 3) for j in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(items)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(frame, bench).collect()}
+    assert got == {(n, i) for n, (i, _) in enumerate(items)}
+    assert decontamination.clean(frame, bench).count() == 0
+
+
 def test_licenses(spark, empty):
     rng = random.Random(7)
     names = sorted(licenses.TEMPLATES)

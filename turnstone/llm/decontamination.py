@@ -13,7 +13,7 @@ unchanged around any match, and grams of no item count nothing. That loses no ma
 Items come in blocks of bounded size, each held against all documents in one pass without a shuffle; a
 benchmark of any size is more passes. Items of fewer than ``least_words`` words are searched for without embeddings: of an
 item cut into floor(n * edits) + 1 pieces one stands unchanged in any match, so the places of all pieces are
-looked up and held against the item; none is missed. Null texts and texts without words match nothing. Repeated rows give repeated results; further columns don't matter.
+looked up and held against the item; none is missed. Items without an id are searched for too (item_id null). Null texts and texts without words match nothing. Repeated rows give repeated results; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -269,11 +269,18 @@ class Tables:
 
 
 def item_blocks(benchmark: DataFrame, least_words: int, edits: float, recall: float, key: str, text: str) -> Iterator[Tables]:
-    """Blocks of at most BLOCK_ITEMS items, in the order of their ids; only one block is on the driver at a time."""
-    rows = only(benchmark, key, text).filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()).distinct()
+    """Blocks of at most BLOCK_ITEMS items, in the order of their ids (none first) and texts; only one block is on the driver at a time."""
+    rows = only(benchmark, key, text).filter(F.col(f"`{text}`").isNotNull()).distinct()
+    k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     last = None
     while True:
-        block = (rows if last is None else rows.filter(F.col(key) > last)).orderBy(key, text).limit(BLOCK_ITEMS).collect()
+        if last is None:
+            rest = rows
+        elif last[0] is None:
+            rest = rows.filter(k.isNotNull() | (t > F.lit(last[1])))
+        else:
+            rest = rows.filter((k > F.lit(last[0])) | ((k == F.lit(last[0])) & (t > F.lit(last[1]))))
+        block = rest.orderBy(k, t).limit(BLOCK_ITEMS).collect()
         if not block:
             return
         words, borders = words_of(pa.array([r[1] for r in block], pa.string()))
@@ -282,7 +289,7 @@ def item_blocks(benchmark: DataFrame, least_words: int, edits: float, recall: fl
         yield Tables([i for i, _ in items], [w for _, w in items], edits, recall, least_words=least_words).build()
         if len(block) < BLOCK_ITEMS:
             return
-        last = block[-1][0]
+        last = block[-1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, recall: float = 0.99, least_words: int = 8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
