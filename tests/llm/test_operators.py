@@ -262,24 +262,41 @@ def test_substring_dedup(docs, empty, rows):
     assert substring_dedup.remove_passages(empty).collect() == []
 
 
-def test_small_groups_of_suffixes():
+def test_hot_grams_take_another_way(docs, rows):
+    for of in (suffix_array.remove_repeats, substring_dedup.remove_passages):
+        usual = sorted((str(r["key"]), r["n_removed"], bytes(r["kept"])) for r in of(docs).collect())
+        for hot in (0, 3):  # all grams, or those of more than three places
+            assert sorted((str(r["key"]), r["n_removed"], bytes(r["kept"])) for r in of(docs, hot=hot).collect()) == usual
+
+
+def test_trees_and_passes_of_digits():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    windows = rng.integers(0, 3, (400, 6)).astype(np.uint64)
-    first = rng.integers(0, 4, 400)
-    keys = [(f, *w) for f, w in zip(first.tolist(), windows.tolist(), strict=True)]
-    was, substring_dedup.GROUP_ROWS = substring_dedup.GROUP_ROWS, 16
-    try:
-        for groups in (substring_dedup.prefix_groups(first, windows, 16), substring_dedup.prefix_groups(first, windows, 10_000)):
-            assert sorted(np.concatenate([g for g, _ in groups]).tolist()) == list(range(400))
-        for numbers, table in ((substring_dedup.tree_groups(first, windows), windows), (suffix_array.radix_groups(first, windows.astype(np.uint8)), windows)):
-            same = {}
-            for k, n in zip(keys, numbers.tolist(), strict=True):
-                assert same.setdefault(k, n) == n
-            assert len(set(same.values())) == len(same) and len(table) == 400
-    finally:
-        substring_dedup.GROUP_ROWS = was
+    table = rng.integers(1, 3, (400, 9)).astype(np.uint64)
+    lengths = rng.integers(4, 10, 400)
+    table[np.arange(9)[None, :] >= lengths[:, None]] = 0
+    group, before, rank = rng.integers(0, 4, 400), rng.integers(0, 3, 400).astype(np.uint64), rng.integers(0, 9, 400)
+    was = substring_dedup.GROUP_ROWS
+    for most in (16, 10_000):
+        substring_dedup.GROUP_ROWS = most
+        assert sorted(np.concatenate([g for g, _ in substring_dedup.prefix_groups(group, table, most)]).tolist()) == list(range(400))
+        try:
+            at, depth = substring_dedup.tree_repeats(group, table, lengths, before, rank, 4)
+        finally:
+            substring_dedup.GROUP_ROWS = was
+        want = {}
+        for i in range(400):
+            for n in range(4, int(lengths[i]) + 1):
+                same = [j for j in range(400) if group[j] == group[i] and lengths[j] >= n and (table[j, :n] == table[i, :n]).all()]
+                ends = len({table[j, n] if n < lengths[j] else -j for j in same}) > 1 if n < 9 else True
+                words = {before[j] if before[j] else -j for j in same}
+                if len(same) > 1 and ends and len(words) > 1:
+                    want[i] = n
+        assert dict(zip(at.tolist(), depth.tolist(), strict=True)) == want
+    at, depth = suffix_array.later_copies(group, table.astype(np.uint8), lengths, before, rank, 4)
+    assert set(at.tolist()) == {i for i in range(400) if any(group[j] == group[i] and (table[j, :4] == table[i, :4]).all() and rank[j] < rank[i] for j in range(400))}
+    assert set(depth.tolist()) == {4}
 
 
 def plain_counts(t):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,6 +15,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def _give_back() -> None:
+    """Let freed arrays go back to the system: a worker process lives on through many stages, and each leaves its largest step behind otherwise."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+    except (OSError, AttributeError):  # another C library: nothing to set
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
+
 #: Bytes of text that one step of an Arrow function works on at once.
 SLICE_BYTES = 4 << 20
 
@@ -85,8 +99,12 @@ def size_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 64, most: int = 1 << 16) -> int:
-    """How many buckets the data of a frame are dealt into so that each holds about ``bytes_each`` of files."""
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 64, most: int = 1 << 20) -> int:
+    """How many buckets the data of a frame are dealt into so that each holds about ``bytes_each`` of files.
+
+    Beyond ``most`` (2 TB at 2 MB each) buckets grow, to 95 MB of files at 100 TB: more of them would make
+    the entries that each block sends to each bucket a number apiece.
+    """
     return max(least, min(most, -(-size_of(df) // bytes_each)))
 
 

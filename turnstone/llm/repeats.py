@@ -5,15 +5,18 @@ Sending every suffix of a corpus through a shuffle would multiply the corpus by
 1. Anchors. In each run of W - k + 1 neighbouring grams (k tokens) the grams of the least hash are anchors, so every
    window of W tokens contains one, at the same place in each of its copies. Anchors are dealt into
    buckets by hash as sorted, packed arrays; an anchor whose gram is nowhere else is done. A gram that a block of
-   texts holds more than once is known to be common there and sends one entry, however many texts hold it.
+   texts holds more than once is known to be common there and sends one entry with its count, however many texts hold it.
 2. Contexts. Every anchor that is left sends the W - k tokens around its gram to the bucket of its hash. Equal
-   contexts are one record with the least document and the number of places; what is equal only in part is cut
-   into its windows, and the operator's own method (``group_windows``) finds the equal ones.
-3. Spans of windows that occur elsewhere return to their documents.
-
-Equal texts are found first, by digest; one of them takes part in 2 for all. No step holds more than a
-block of texts or a bucket, whose sizes are parameters; what one gram's copies send grows with the number of
-blocks in step 1 and with the copies themselves in step 2.
+   contexts are one record with the least document and the number of places. The suffixes that begin at one distance in front
+   of one gram are a group; the operator's own method (``Search.find``) says which of them repeat, and how far.
+3. Grams that more than ``hot`` places hold would make one bucket large. Each of their windows goes to a bucket of its own, by two
+   64-bit hashes of the whole window; what repeats within a block is told there, and one entry a block is sent. The list of
+   such grams is short by counting: ``hot`` grows with the input, so it has about 2^18 entries at most.
+4. Spans of windows that occur elsewhere return to their documents.
+
+Equal texts are found first, by digest (SHA-256); one of them takes part in 2 for all. Words, and contexts that are made one, are told
+apart by 64-bit hashes. No step holds more than a block of texts or a bucket, whose sizes are parameters; what one gram's
+copies send grows with the number of blocks in steps 1 and 3, and up to ``hot`` with the copies themselves in step 2.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstone.llm.arrays import BYTE_VALUE, SPACE, U64, buffer_of, mix, ranges, rolling, sliding, span_hashes, word_spans
-from turnstone.llm.common import buckets_for, drop, only, packed, release, sliced, unpacked, written
+from turnstone.llm.common import buckets_for, drop, packed, release, size_of, sliced, unpacked, written
 
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _PIECE = 1 << 18
@@ -60,12 +63,18 @@ class Tokens:
 
 @dataclass(frozen=True)
 class Search:
-    """window: W; gram: k; words: tokens are words, else bytes; other_document: copies count only in documents of lesser keys."""
+    """window: W; gram: k; words: tokens are words, else bytes; other_document: copies count only in documents of lesser keys.
+
+    ``find(group, suffixes, lengths, before, rank, window)`` gives (rows, depths): which rows of ``suffixes`` are to go, and how many
+    of their tokens. Rows of different ``group`` are never equal; beyond its length a row is nought; ``before``: the token in front
+    (nought: not known).
+    """
 
     window: int
     gram: int
     words: bool
     other_document: bool
+    find: Callable[..., tuple[np.ndarray, np.ndarray]]
 
     @property
     def side(self) -> int:
@@ -135,7 +144,7 @@ def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 _ROWS = "at long, kind int, payload binary"
-_HOT, _COPY, _FULL, _SPAN = 0, 1, 2, 3
+_COMMON, _COPY, _FULL, _SPAN, _HOT, _DEEP = 0, 1, 2, 3, 4, 5
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> dict[str, pa.Array]:
@@ -164,32 +173,33 @@ def send_anchors(search: Search, buckets: int, groups: int) -> Callable:
             marks, group = _mark(uid[doc[several]], hashes[several]), np.mod(uid[doc[several]], groups)
             by = np.argsort(group, kind="stable")
             for g, rows in _by_bucket(group[by], groups):
-                out.append((-1 - g, _HOT, _blob(np.unique(marks[by][rows]))))
+                out.append((-1 - g, _COMMON, _blob(np.unique(marks[by][rows]))))
             kept = hashes[first]
             owner = np.where(number > 1, len(uid), doc[first]).astype(np.uint32)
             for b, rows in _by_bucket(_bucket_of(kept, buckets), buckets):
                 used, index = np.unique(owner[rows], return_inverse=True)
                 table = np.append(uid, 0)[used]
-                out.append((b, _HOT, _blob(np.diff(kept[rows], prepend=U64(0)), index.astype(np.uint32), table, (used == len(uid)).astype(np.uint8))))
+                out.append((b, _COMMON, _blob(np.diff(kept[rows], prepend=U64(0)), index.astype(np.uint32), table, (used == len(uid)).astype(np.uint8), number[rows].astype(np.uint32))))
             yield pa.RecordBatch.from_pydict(_rows(out))
 
     return run
 
 
-def find_common(search: Search, groups: int) -> Callable:
-    """Marks of grams that a bucket holds more than once, for the groups of their documents."""
+def find_common(search: Search, groups: int, hot: int) -> Callable:
+    """Marks of grams that a bucket holds more than once, for the groups of their documents; and grams of more than ``hot`` places (at -1)."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         at = key[0].as_py()
         if at < 0:
             return pa.table({"at": pa.array(np.full(rows.num_rows, -1 - at), pa.int64()), "kind": rows["kind"], "payload": rows["payload"]})
-        hashes, uid, several = [], [], []
-        for blob in rows["payload"].to_pylist():
-            h, index, table, shared = _arrays(blob, np.uint64, np.uint32, np.int64, np.uint8)
+        hashes, uid, several, places = [], [], [], []
+        for blob in rows["payload"]:
+            h, index, table, shared, number = _arrays(blob.as_py(), np.uint64, np.uint32, np.int64, np.uint8, np.uint32)
             hashes.append(np.cumsum(h, dtype=np.uint64))
             uid.append(table[index])
             several.append(shared[index])
-        hashes, uid, several = map(np.concatenate, (hashes, uid, several))
+            places.append(number)
+        hashes, uid, several, places = map(np.concatenate, (hashes, uid, several, places))
         order = np.argsort(hashes, kind="stable")
         hashes, uid, several = hashes[order], uid[order], several[order]
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
@@ -198,7 +208,9 @@ def find_common(search: Search, groups: int) -> Callable:
         chosen = np.repeat(common, number) & (several == 0)
         marks, group = _mark(uid[chosen], hashes[chosen]), np.mod(uid[chosen], groups)
         by = np.argsort(group, kind="stable")
-        return pa.table(_rows([(g, _HOT, _blob(np.sort(marks[by][x]))) for g, x in _by_bucket(group[by], groups)]))
+        out = [(g, _COMMON, _blob(np.sort(marks[by][x]))) for g, x in _by_bucket(group[by], groups)]
+        many = hashes[first][np.add.reduceat(places[order].astype(np.int64), first) > hot]
+        return pa.table(_rows([*out, (-1, _HOT, _blob(many))] if len(many) else out))
 
     return run
 
@@ -216,12 +228,58 @@ def _joined(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return joined, at
 
 
-def send_contexts(search: Search, buckets: int) -> Callable:
-    """For a group of documents and the marks of their common grams: contexts for the buckets."""
+def _window_hashes(tokens: Tokens, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows at these (sorted) places, made piece by piece."""
+    one, two = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    for a in range(0, len(tokens), _PIECE):
+        low, high = np.searchsorted(start, (a, a + _PIECE))
+        if high > low:
+            values = tokens.values(a, min(len(tokens), a + _PIECE + window - 1))
+            one[low:high], two[low:high] = rolling(values, window)[start[low:high] - a], rolling(mix(values), window)[start[low:high] - a]
+    return one, two
+
+
+def _deep_entries(search: Search, tokens: Tokens, place: np.ndarray, doc: np.ndarray, uid: np.ndarray, rank: np.ndarray, buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
+    """The windows around anchors of hot grams, one entry each where a block holds one several times, and what is known to repeat at once."""
+    first = np.maximum(place - search.side, tokens.borders[doc])
+    last = np.minimum(place, tokens.borders[doc + 1] - search.window)
+    start = np.unique(ranges(first, np.maximum(0, last - first + 1)))
+    if not len(start):
+        return []
+    doc = np.searchsorted(tokens.borders[1:], start, "right")
+    one, two = _window_hashes(tokens, start, search.window)
+    order = np.lexsort((start, rank[doc], two, one))
+    one, two, start, doc = one[order], two[order], start[order], doc[order]
+    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    at = np.flatnonzero(new)
+    number = np.diff(np.append(at, len(one)))
+    if search.other_document:  # what isn't in the block's least document goes; that document's places are sent
+        known = rank[doc] > np.repeat(rank[doc[at]], number)
+        sent = np.flatnonzero(~known)
+        several = np.zeros(len(sent), np.uint8)
+    else:  # all places go where there are two, and one entry says so
+        known = np.repeat(number > 1, number)
+        sent, several = at, (number > 1).astype(np.uint8)
+    out = []
+    place = start - tokens.borders[doc]
+    u, s, e = _merge(uid[doc[known]], place[known], place[known] + search.window)
+    group = np.mod(u, groups)
+    by = np.argsort(group, kind="stable")
+    for g, x in _by_bucket(group[by], groups):
+        out.append((-1 - g, _SPAN, _blob(u[by][x], s[by][x], e[by][x])))
+    for b, x in _by_bucket(_bucket_of(one[sent], buckets), buckets):
+        chosen = sent[x]
+        used, index = np.unique(doc[chosen], return_inverse=True)
+        out.append((b, _DEEP, _blob(one[chosen], two[chosen], index.astype(np.uint32), uid[used], rank[used], place[chosen], several[x])))
+    return out
+
+
+def send_contexts(search: Search, buckets: int, groups: int, hot: np.ndarray) -> Callable:
+    """For a group of documents and the marks of their common grams: contexts for the buckets, windows of hot grams apart."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table) -> pa.Table:
         kinds, payloads = rows["kind"].to_pylist(), rows["payload"].to_pylist()
-        marks = [_arrays(p, np.uint64)[0] for kind, p in zip(kinds, payloads, strict=True) if kind == _HOT]
+        marks = [_arrays(p, np.uint64)[0] for kind, p in zip(kinds, payloads, strict=True) if kind == _COMMON]
         if not marks or not docs.num_rows:
             return pa.table(_rows([]))
         marks = np.unique(np.concatenate(marks))
@@ -229,15 +287,19 @@ def send_contexts(search: Search, buckets: int) -> Callable:
         if copies:
             docs = docs.filter(pa.array(~np.isin(docs["uid"].to_numpy(), np.concatenate(copies))))
         out = []
-        for batch in sliced(iter(docs.combine_chunks().to_batches())):
+        for batch in sliced(iter(docs.to_batches())):
             tokens = Tokens.of(batch.column(batch.schema.get_field_index("text")), search.words)
             uid = batch.column(batch.schema.get_field_index("uid")).to_numpy()
             rank = batch.column(batch.schema.get_field_index("rank")).to_numpy()
             place, hashes, doc = anchors(tokens, search)
             mark = _mark(uid[doc], hashes)
             at = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
-            hot = marks[at] == mark
-            place, hashes, doc = place[hot], hashes[hot], doc[hot]
+            common = marks[at] == mark
+            place, hashes, doc = place[common], hashes[common], doc[common]
+            if len(hot):
+                deep = np.isin(hashes, hot)
+                out += _deep_entries(search, tokens, place[deep], doc[deep], uid, rank, buckets, groups)
+                place, hashes, doc = place[~deep], hashes[~deep], doc[~deep]
             bucket = _bucket_of(hashes, buckets)
             order = np.argsort(bucket, kind="stable")
             place, hashes, doc, bucket = place[order], hashes[order], doc[order], bucket[order]
@@ -296,59 +358,87 @@ def _merge(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return uid[at], start[at], reach[last] - group[last] * step
 
 
-def find_spans(search: Search, groups: int, group_windows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
-    """Spans covered by windows that occur elsewhere, from the contexts of a bucket.
-
-    ``group_windows(first, windows)`` numbers the rows of ``windows`` so that two have one number if and
-    only if they are equal and have one value of ``first``.
-    """
+#: Suffixes that are held against one another at once, unless one gram has more.
+PART_ROWS = 1 << 13
+
+
+def _of_contexts(search: Search, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (uid, start, end) of windows that occur elsewhere, from the contexts of a bucket."""
+    parts: list[list[np.ndarray]] = []
+    while payloads:
+        h, index, uid, rank, place, left, right, sizes, data = _arrays(payloads.pop(), np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint32, np.uint8)
+        parts.append([h, uid[index], rank[index], place, left, right, _table(search, left, right, sizes, data)])
+    h, uid, rank, place, left, right, table = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    low, high = np.maximum(0, search.side - right), np.minimum(search.side, left)  # of offsets of windows
+    context = _row_hash(table) + mix((left * 256 + right).view(np.uint64))
+    order = np.lexsort((rank, context, h))
+    h, uid, rank, place, low, high, right, context = (x[order] for x in (h, uid, rank, place, low, high, right, context))
+    new_gram = np.concatenate([[True], h[1:] != h[:-1]])
+    new = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
+    cls = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    number = np.diff(np.append(first, len(h)))
+    least = rank[first]
+    gram_of = (np.cumsum(new_gram) - 1)[first]
+    variants = np.bincount(gram_of)[gram_of]
+    whole = rank > least[cls] if search.other_document else (number > 1)[cls]
+    whole &= high >= low
+    spans = [(uid[whole], place[whole] - high[whole], place[whole] - low[whole] + search.window)]
+    # Of grams with several contexts: the suffixes of one record for each context, one distance to the gram after the other.
+    chosen = np.flatnonzero((variants > 1) & (high[first] >= low[first]))
+    at_least = _least_run(rank, first, number) if search.other_document else np.ones(len(first), np.int64)
+    for part in _bounded(gram_of[chosen], PART_ROWS):
+        c = chosen[part]
+        rows = table[order[first[c]]]
+        for offset in range(search.side + 1):
+            has = np.flatnonzero((low[first[c]] <= offset) & (offset <= high[first[c]]))
+            if len(has) < 2:
+                continue
+            f = first[c[has]]
+            begin = search.side - offset
+            before = rows[has, begin - 1] if begin else np.zeros(len(has), rows.dtype)
+            found, depth = search.find(gram_of[c[has]], rows[has, begin:], offset + search.gram + right[f], before, least[c[has]], search.window)
+            if len(found):
+                # All places of a record's least document have what the record has.
+                several = at_least[c[has[found]]]
+                rec, depth = ranges(f[found], several), np.repeat(depth, several)
+                spans.append((uid[rec], place[rec] - offset, place[rec] - offset + depth))
+    return _merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+
+
+def _of_windows(search: Search, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of windows that occur elsewhere, from the windows of hot grams."""
+    parts = []
+    while payloads:
+        one, two, index, uid, rank, place, several = _arrays(payloads.pop(), np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint8)
+        parts.append([one, two, uid[index], rank[index], place, several])
+    one, two, uid, rank, place, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((rank, two, one))
+    one, two = one[order], two[order]
+    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    number = np.diff(np.append(first, len(one)))
+    if search.other_document:
+        again = rank[order] > np.repeat(rank[order][first], number)
+    else:
+        again = np.repeat((number > 1) | (np.maximum.reduceat(several[order], first) > 0), number)
+    which = order[again]
+    return _merge(uid[which], place[which], place[which] + search.window)
+
+
+def find_spans(search: Search, groups: int) -> Callable:
+    """Spans covered by windows that occur elsewhere, from the contexts and windows of a bucket; spans found before pass through."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = []
-        for blob in rows["payload"].to_pylist():
-            h, index, uid, rank, place, left, right, sizes, data = _arrays(blob, np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint32, np.uint8)
-            parts.append([h, uid[index], rank[index], place, left, right, _table(search, left, right, sizes, data)])
-        h, uid, rank, place, left, right, table = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        low, high = np.maximum(0, search.side - right.astype(np.int64)), np.minimum(search.side, left.astype(np.int64))  # of offsets of windows
-        context = _row_hash(table) + mix(left.astype(np.uint64) * U64(256) + right)
-        order = np.lexsort((rank, context, h))
-        h, uid, rank, place, low, high, table, context = (x[order] for x in (h, uid, rank, place, low, high, table, context))
-        new_gram = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
-        cls = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        number = np.diff(np.append(first, len(h)))
-        least = rank[first]
-        gram_of = (np.cumsum(new_gram) - 1)[first]
-        variants = np.bincount(gram_of)[gram_of]
-        whole = rank > least[cls] if search.other_document else (number > 1)[cls]
-        whole &= high >= low
-        spans = [(uid[whole], place[whole] - high[whole], place[whole] - low[whole] + search.window)]
-        # Of grams with several contexts: all windows of one record for each context.
-        chosen = np.flatnonzero((variants > 1) & (high[first] >= low[first]))
-        for part in _bounded(gram_of[chosen], 1 << 14):
-            c = chosen[part]
-            f = first[c]
-            sizes = high[f] - low[f] + 1
-            who, offset = np.repeat(np.arange(len(c)), sizes), ranges(low[f], sizes)
-            windows = np.lib.stride_tricks.sliding_window_view(table[f], search.window, axis=1)[who, search.side - offset]
-            same = group_windows(gram_of[c][who] * (search.side + 1) + offset, windows)
-            if search.other_document:
-                top = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(top, same, least[c][who])
-                again = least[c][who] > top[same]
-            else:
-                again = np.bincount(same)[same] > 1
-            found_class, found_offset = c[who[again]], offset[again]
-            if search.other_document:  # all places of the least document have what the record has
-                short = np.searchsorted(first, first[found_class])
-                at_least = _least_run(rank, first, number)[found_class]
-                rec = ranges(first[short], at_least)
-                off = np.repeat(found_offset, at_least)
-            else:
-                rec, off = first[found_class], found_offset
-            spans.append((uid[rec], place[rec] - off, place[rec] - off + search.window))
+        at = key[0].as_py()
+        if at < 0:
+            return pa.table({"at": pa.array(np.full(rows.num_rows, -1 - at), pa.int64()), "kind": rows["kind"], "payload": rows["payload"]})
+        spans = []
+        for kind, of in ((_SPAN, _of_contexts), (_DEEP, _of_windows)):
+            payloads = [p.as_py() for k, p in zip(rows["kind"].to_pylist(), rows["payload"], strict=True) if k == kind]
+            if payloads:
+                spans.append(of(search, payloads))
         u, s, e = _merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         group = np.mod(u, groups)
         by = np.argsort(group, kind="stable")
@@ -389,7 +479,7 @@ def remove_spans(search: Search) -> Callable:
         full = [_arrays(p, np.int64)[0] for kind, p in zip(kinds, payloads, strict=True) if kind == _FULL]
         full = set(np.concatenate(full).tolist()) if full else set()
         out = []
-        for batch in sliced(iter(docs.combine_chunks().to_batches())):
+        for batch in sliced(iter(docs.to_batches())):
             tokens = Tokens.of(batch.column(batch.schema.get_field_index("text")), search.words)
             own = batch.column(batch.schema.get_field_index("uid")).to_numpy()
             sizes = np.diff(tokens.borders)
@@ -445,23 +535,30 @@ def _words(raw: np.ndarray) -> list[bytes]:
     return [w for w in raw.tobytes().translate(_TO_BLANK).split(b" ") if w]
 
 
-def repeated_spans(docs: DataFrame, search: Search, group_windows: Callable, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bucket_bytes: int = 2 << 20) -> DataFrame:
-    """key, text, rest (a struct of the carried columns), n_tokens, n_removed, spans (of tokens, merged), kept (bytes outside the spans) of every document."""
+def repeated_spans(docs: DataFrame, search: Search, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bucket_bytes: int = 2 << 20, hot: int | None = None) -> DataFrame:
+    """key, text, rest (a struct of the carried columns), n_tokens, n_removed, spans (of tokens, merged), kept (bytes outside the spans) of every document.
+
+    The key decides which document is smaller, so it must be a number or null where that counts; other keys are an error there.
+    """
     spark = docs.sparkSession
-    groups = buckets_for(docs, bucket_bytes, least=256)
-    buckets = buckets_for(docs, bucket_bytes, least=256)
+    groups = buckets = buckets_for(docs, bucket_bytes, least=256)
+    hot = max(1 << 14, size_of(docs) >> 20) if hot is None else hot
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), rest.alias("rest"))
     # Rows without a key come behind all others.
-    rows = rows.select("key", "text", "rest", F.xxhash64("key", "text").alias("uid"), F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1)).alias("rank"))
+    rank = F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1)) if search.other_document else F.lit(0).cast("long")
+    rows = rows.select("key", "text", "rest", F.xxhash64("key", "text").alias("uid"), rank.alias("rank"))
     rows = rows.withColumn("at", F.pmod(F.col("uid"), F.lit(groups)))
 
     common = rows.select("uid", "text").mapInArrow(send_anchors(search, buckets, groups), _ROWS)
-    common = written(common.groupBy("at").applyInArrow(find_common(search, groups), _ROWS), "common")
+    common = written(common.groupBy("at").applyInArrow(find_common(search, groups, hot), _ROWS), "common")
     release(spark)
+    many = [_arrays(bytes(r["payload"]), np.uint64)[0] for r in common.filter(F.col("kind") == _HOT).select("payload").collect()]  # about 2^18 numbers at most, see above
+    many = np.unique(np.concatenate(many)) if many else np.zeros(0, np.uint64)
 
     same = rows.filter("text is not null").select("uid", "rank", F.sha2("text", 256).alias("digest"))
-    classes = same.groupBy("digest").agg(F.min(F.struct("rank", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, so that the join below is between two shuffles that Spark can split where one text is a large part of all rows.
+    classes = written(same.groupBy("digest").agg(F.min(F.struct("rank", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "digests")
     members = same.join(classes, "digest").select("uid", F.col("rank") > F.col("first.rank"), F.col("uid") != F.col("first.uid")).toDF("uid", "later", "other")
     copies = members.filter("other").select("uid", F.lit(_COPY).alias("kind"))
     full = members.filter("later" if search.other_document else "true").select("uid", F.lit(_FULL).alias("kind"))
@@ -472,9 +569,9 @@ def repeated_spans(docs: DataFrame, search: Search, group_windows: Callable, key
 
     lists = written(lists.groupBy("at", "kind").applyInArrow(pack, _ROWS), "copies")
 
-    marks = common.unionByName(lists.filter(F.col("kind") == _COPY))
-    contexts = rows.select("at", "uid", "rank", "text").groupBy("at").cogroup(marks.groupBy("at")).applyInArrow(send_contexts(search, buckets), _ROWS)
-    spans = written(contexts.groupBy("at").applyInArrow(find_spans(search, groups, group_windows), _ROWS), "spans")
+    marks = common.filter(F.col("kind") == _COMMON).unionByName(lists.filter(F.col("kind") == _COPY))
+    contexts = rows.select("at", "uid", "rank", "text").groupBy("at").cogroup(marks.groupBy("at")).applyInArrow(send_contexts(search, buckets, groups, many), _ROWS)
+    spans = written(contexts.groupBy("at").applyInArrow(find_spans(search, groups), _ROWS), "spans")
     drop(common)
     release(spark)
     verdicts = spans.unionByName(lists.filter(F.col("kind") == _FULL))

@@ -5,7 +5,9 @@ digit is eight bytes. After each pass suffixes without an equal neighbour are ou
 after the last pass are exactly the repeated windows. ``repeats`` says which suffixes are sorted and where.
 
 Null text is empty. Matches never cross documents. Rows that share a key are one document to each other: none is
-smaller. Rows without a key come behind all others. Empty tables give empty results.
+smaller. Rows without a key come behind all others; a key that isn't a number has no order here and is an error. Repeated rows
+share their key. Very long texts are worked on in one piece of their own. Empty tables give empty results. Further columns are left
+out but for those of ``carry``.
 """
 
 from __future__ import annotations
@@ -52,6 +54,15 @@ def radix_groups(first: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def later_copies(group: np.ndarray, suffixes: np.ndarray, lengths: np.ndarray, before: np.ndarray, rank: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, bytes): suffixes whose first ``window`` bytes a document of a lesser rank holds too."""
+    same = radix_groups(group, suffixes[:, :window])
+    least = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, rank)
+    rows = np.flatnonzero(rank > least[same])
+    return rows, np.full(len(rows), window)
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), hot: int | None = None) -> DataFrame:
     """key, text, rest (the carried columns), n_tokens (bytes), n_removed, spans (byte ranges), kept (remaining bytes) of every document."""
-    return repeated_spans(docs, Search(window, gram, words=False, other_document=True), radix_groups, key, text, carry)
+    return repeated_spans(docs, Search(window, gram, words=False, other_document=True, find=later_copies), key, text, carry, hot=hot)
