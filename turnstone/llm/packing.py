@@ -134,10 +134,12 @@ def token_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.nda
     first[np.searchsorted(starts, cuts[:-1][is_special])] = True
     keep = ~inside | first  # of a special string, one entry
     starts, ends, segment, hashes, inside = starts[keep], ends[keep], segment[keep], hashes[keep], inside[keep]
+    plain = ~inside
+    first_byte, last_byte = starts[plain], ends[plain]
 
     def make(at: np.ndarray) -> np.ndarray:
         raw = memoryview(data)
-        words = [bytes(raw[a:b]).decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        words = [bytes(raw[a:b]).decode() for a, b in zip(first_byte[at].tolist(), last_byte[at].tolist(), strict=True)]
         ids = []
         for i in range(0, len(words), 2048):  # the library's results take a KB and more for each word
             ids += [e.ids for e in whole.encode_batch(words[i : i + 2048], add_special_tokens=False)]
@@ -153,7 +155,7 @@ def token_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.nda
         cache.keys[:] = 0
         pool[0], pool[1] = np.zeros(1 << 20, np.uint32), 0
     where = np.zeros(len(starts), np.int64)
-    where[~inside] = cache.look_up(hashes[~inside], make)
+    where[plain] = cache.look_up(hashes[plain], make)
     sizes = np.where(inside, 1, where & 0xFFFFFF)
     doc = owner[segment]
     out_sizes = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64) + 1
