@@ -211,7 +211,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, k
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = {length: tuple(np.array(x, np.int64) for x in zip(*of, strict=True)) for length, of in plan(total, capacity).items()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Written, so that its size is known: Spark broadcasts it up to its threshold and joins by sorting beyond that.
+    base = written(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     ranked = cuts.join(base, ["part", "length"]).select(key, "piece", "start", "length", "ids", (F.col("base") + F.col("rank")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
