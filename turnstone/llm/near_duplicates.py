@@ -7,12 +7,13 @@ into their sketch are exact). So a pair that far alike shares one of the first `
 retained values of each, rarest first: only these enter the inverted lists, and values that very many documents hold enter
 none unless the rest of a document is as common. Lists join documents into clusters: an edge from each
 member to the list's most central one, never all pairs. A cluster is dealt into blocks of bounded size, and
-each pair of blocks is one group: there, shared retained values give overlaps, the sketch of the union estimates
+each pair of blocks is one group: there, the inverted lists of all retained values give overlaps, the sketch of the union estimates
 the similarity, and pairs that may reach the threshold and aren't connected yet are compared on their full sets.
 Confirmed links make components, found by alternating large-star and small-star steps on tables.
 
 Null and empty texts have the empty set and stand alone. Rows without a key stand alone too (component null,
-kept). Rows that share a key are one document. Repeated rows are repeated in the result. An empty table
+kept). Rows that share a key are one document to ``near_duplicates``; ``keep_one`` drops of them what is equal or alike only. Repeated
+rows are repeated in the result. Very long texts are worked on in one piece of their own. An empty table
 gives an empty result; further columns of the input are ignored.
 """
 
@@ -149,22 +150,22 @@ class Forest:
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of membership tables over the values that two sets at least hold."""
+    """Sizes of all intersections, counted along the inverted list of each value that two sets at least hold."""
     n = len(sets)
-    values, inverse, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    values = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    column = np.cumsum(number > 1) - 1
-    keep = number[inverse] > 1
-    owner, column = owner[keep], column[inverse[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((n, n), np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, (low, low + 4096))
-        table = np.zeros((n, min(4096, int(column[-1]) + 1 - low)), np.float32)
-        table[owner[a:b], column[a:b] - low] = 1
-        out += table @ table.T
-    return out.astype(np.int64)
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    sizes = np.diff(np.append(begins, len(values)))
+    out = np.zeros(n * n, np.int32)
+    for size in np.unique(sizes[sizes > 1]).tolist():  # lists of one length are a table
+        lists = owner[begins[sizes == size][:, None] + np.arange(size)]
+        step = max(1, (1 << 18) // (size * size))
+        for a in range(0, len(lists), step):
+            part = lists[a : a + step]
+            out += np.bincount((part[:, :, None] * n + part[:, None, :]).ravel(), minlength=n * n).astype(np.int32)
+    return out.reshape(n, n)
 
 
 def links_within(sets: list[np.ndarray], across: np.ndarray | None, k: int, percent: int) -> list[tuple[int, int]]:
@@ -198,7 +199,7 @@ def links_within(sets: list[np.ndarray], across: np.ndarray | None, k: int, perc
     return out
 
 
-#: Documents of one block of a cluster; a group has two blocks at most.
+#: Documents of one block of a cluster; a group has two blocks at most. Clusters of one block share groups of about twice as many documents.
 BLOCK_ROWS = 256
 
 
@@ -206,7 +207,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int,
     """(a, b): links that connect what similarities on full sets connect, within the clusters (doc, component)."""
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    members = clusters.join(sizes, "component").select("doc", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # A cluster is told by a hash of its name: two that share one are compared together, which changes nothing but the work.
+    members = clusters.join(sizes, "component").select("doc", F.xxhash64("component").alias("component"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -217,12 +219,13 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int,
     rows = only(docs, key, text).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     # The members grow with the corpus: the join is by sorting at every size, never a broadcast that a larger table loses.
-    sets = rows.join(members.hint("merge"), "doc").mapInArrow(run, f"doc {kind}, component {kind}, blocks int, block int, shingles array<long>")
-    # A cluster of one block goes to one of many common groups, so that groups are many rows each.
+    sets = rows.join(members.hint("merge"), "doc").mapInArrow(run, f"doc {kind}, component long, blocks int, block int, shingles array<long>")
+    # A cluster of one block goes to one of many common groups, so that groups are many rows each, at every size of the corpus.
+    common = max(64, clusters.count() // (2 * BLOCK_ROWS))
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     )
-    spread = sets.withColumn("x", F.explode(pairs)).select("doc", "component", "block", "shingles", "x.i", "x.j").withColumn("at", F.when(F.col("i") < 0, F.pmod(F.xxhash64("component"), F.lit(2048)).cast("string")).otherwise(F.concat_ws("/", F.col("component").cast("string"), "i", "j")))
+    spread = sets.withColumn("x", F.explode(pairs)).select("doc", "component", "block", "shingles", "x.i", "x.j").withColumn("at", F.when(F.col("i") < 0, F.pmod(F.col("component"), F.lit(common)).cast("string")).otherwise(F.concat_ws("/", F.col("component").cast("string"), "i", "j")))
 
     def compare(group: pa.Table) -> pa.Table:
         a, b = [], []
@@ -272,10 +275,17 @@ def _same_key(keyed: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are the least of their component; of rows that share a key, the least row."""
-    rejected = written(near_duplicates(docs, percent, key=key, text=text).filter("not kept").select(key).distinct(), "rejected")
-    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    once = docs.join(rejected.union(repeated).hint("merge"), key, "left_anti").select(docs.columns)
-    again = docs.join(repeated, key, "left_semi").join(rejected, key, "left_anti")
-    least = again.groupBy(key).agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (key, text)])).alias("_r"))
-    return once.unionByName(least.select(key, "_r.*").select(docs.columns))
+    """The documents, with all their columns, that are the least of their component.
+
+    Of rows that share a key, each with another text is a document of its own (the texts' order by hash decides which is less), and
+    equal rows are one; what differs in other columns only is one of them.
+    """
+    several = written(docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "several")
+    if several.isEmpty():
+        rejected = written(near_duplicates(docs, percent, key=key, text=text).filter("not kept").select(key).distinct(), "rejected")
+        return docs.join(rejected.hint("merge"), key, "left_anti").select(docs.columns)
+    own = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text")))
+    marked = docs.select(own.alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    found = written(near_duplicates(marked, percent, key="_id", text="_text").filter("kept and _id is not null").select("_id").distinct(), "kept")
+    once = marked.join(found.hint("merge"), "_id", "left_semi").groupBy("_id").agg(F.first("_row").alias("_row"))
+    return once.select("_row.*").unionByName(marked.filter("_id is null").select("_row.*"))
