@@ -1,15 +1,15 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding: compatibility forms, case, look-alike letters of other scripts, digits and signs that stand for letters,
-invisible characters; all other punctuation and white space separates words. Lexicon entries are whole words
-or beginnings of words, learned with their log-odds from a bounded sample of labelled rows (``sample_rows``
-rows, those least by a hash of the key). A phrase of an entry's word and a neighbour that is found in harmless
+invisible characters; all other punctuation and white space separates words. Lexicon entries are whole words of any length
+or beginnings of words (``SHORTEST`` to ``LONGEST`` letters), learned with their log-odds from a bounded sample of labelled rows (``sample_rows``
+rows, those least by a hash of the key; whole texts). A phrase of an entry's word and a neighbour that is found in harmless
 rows only is an exception: a match within it counts nothing. The weights of a text's matches are summed,
 divided by a slowly growing function of its length, and mapped to 0..1 by a logistic curve fitted on the sample.
 
 Null and empty texts have no match and get the score of such texts. With no labelled rows at all, every score is 0.
-Ties, repeated rows and further columns of the input don't matter; labels may repeat (the greatest counts)
-and may name documents that don't exist; null labels are passed over.
+Ties, repeated rows and further columns of the input don't matter; very long texts are matched whole; an empty table gives an empty
+result; labels may repeat (the greatest counts) and may name documents that don't exist; null labels are passed over.
 """
 
 from __future__ import annotations
@@ -94,13 +94,13 @@ class Lexicon:
             best = {s: e for s, e in best.items() if not any(p in self.exceptions for p in phrases(folded, s))}
         return sorted(best.items())
 
-    def measure(self, folded: str) -> float:
+    def measure(self, folded: str, found: list[tuple[int, str]] | None = None) -> float:
         """The sum of the matches' weights, normalised by length."""
-        found = self.matches(folded)
+        found = self.matches(folded) if found is None else found
         if not found:
             return 0.0
         words = folded.count(" ") - 1
-        return sum(self.weights[e] for _, e in found) / (1.0 + 0.25 * math.log1p(words / 100))
+        return math.fsum(self.weights[e] for _, e in found) / (1.0 + 0.25 * math.log1p(words / 100))
 
     def score(self, measure: float) -> float:
         x = self.bias + self.slope * measure
@@ -118,17 +118,17 @@ def phrases(folded: str, start: int) -> list[str]:
     return out
 
 
-def choose(found: list[tuple[str, int, int]], positive: int, negative: int, n_features: int) -> dict[str, float]:
-    """Entries whose odds can't be chance among so many, with their log-odds; of a chain of beginnings the shortest that is as telling."""
-    base = positive / max(1, positive + negative)
-    weight: dict[str, float] = {}
-    for entry, a, b in found:
-        p = a / (a + b)
-        if p <= max(0.6, base):
-            continue
-        information = (a + b) * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
-        if information > math.log(max(2, n_features)) + 2.0:
-            weight[entry] = math.log((a + 0.5) / (positive + 1)) - math.log((b + 0.5) / (negative + 1))
+def telling(entries: DataFrame, positive: int, negative: int, n_features: int) -> DataFrame:
+    """The entries (entry, toxic, clean) whose odds can't be chance among so many."""
+    base = positive / (positive + negative)
+    p, n = F.col("toxic") / (F.col("toxic") + F.col("clean")), F.col("toxic") + F.col("clean")
+    information = n * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
+    return entries.filter((F.col("toxic") >= 3) & (p > max(0.6, base)) & (information > math.log(max(2, n_features)) + 2.0))
+
+
+def choose(found: list[tuple[str, int, int]], positive: int, negative: int) -> dict[str, float]:
+    """Entries with their log-odds; of a chain of beginnings the shortest that is as telling."""
+    weight = {entry: math.log((a + 0.5) / (positive + 1)) - math.log((b + 0.5) / (negative + 1)) for entry, a, b in found}
     kept: dict[str, float] = {}
     for entry in sorted(weight, key=lambda e: (len(e.rstrip(" ")), e)):
         stem = entry.rstrip(" ")
@@ -158,7 +158,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce((F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 5) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, most_entries: int = 4096, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Fit lexicon, exceptions and curve on at most ``sample_rows`` labelled rows that aren't held out."""
     usable = only(labels, key, label).filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull() & ~held_out(key))
     usable = usable.groupBy(key).agg(F.max(label).cast("int").alias("_label"))
@@ -180,31 +180,39 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, most_entr
     if not positive or not negative:
         return Lexicon({}, bias=1e9 if positive else -1e9)
     table = written(sample.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "entries")
-    n_features = table.count()
-    telling = table.filter("toxic >= 3 and toxic > clean").orderBy(F.desc(F.col("toxic") - F.col("clean")), "entry").limit(most_entries).collect()
-    lexicon = Lexicon(choose([(r["entry"], r["toxic"], r["clean"]) for r in telling], positive, negative, n_features))
+    found = telling(table, positive, negative, table.count()).orderBy("entry").collect()  # words of the sample at most
+    lexicon = Lexicon(choose([(r["entry"], r["toxic"], r["clean"]) for r in found], positive, negative))
+    by_phrase = _phrases(sample, lexicon).groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    lexicon.exceptions = {r["phrase"] for r in by_phrase.filter("clean >= 3 and toxic = 0").collect()}
     rows = _measures(sample, lexicon)
-    seen_in = (Counter(), Counter())
-    for y, _, found in rows:
-        seen_in[y].update(set(found))
-    lexicon.exceptions = {p for p, n in seen_in[0].items() if n >= 3 and not seen_in[1][p]}
-    if lexicon.exceptions:
-        rows = _measures(sample, lexicon)
     x, y = np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], float)
     lexicon.bias, lexicon.slope = fit_logistic(x, y)
     return lexicon
 
 
-def _measures(sample: DataFrame, lexicon: Lexicon) -> list[tuple[int, float, list[str]]]:
-    """Label, measure and phrases around matches of the sample's rows: as many as the sample has."""
+def _phrases(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(phrase, toxic, clean): in how many of a part's rows of each label a phrase around any match stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = (Counter(), Counter())
+        for batch in batches:
+            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                folded = fold(t.as_py())
+                seen[y > 0].update({p for s, _ in lexicon.matches(folded) for p in phrases(folded, s)})
+        every = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([seen[1][p] for p in every], pa.int64()), pa.array([seen[0][p] for p in every], pa.int64())], names=["phrase", "toxic", "clean"])
+
+    return sample.mapInArrow(run, "phrase string, toxic long, clean long")
+
+
+def _measures(sample: DataFrame, lexicon: Lexicon) -> list[tuple[int, float]]:
+    """Label and measure of the sample's rows: as many as the sample has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded = [fold(t) for t in batch.column(0).to_pylist()]
-            found = [[p for s, _ in lexicon.matches(t)[:64] for p in phrases(t, s)] for t in folded]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([lexicon.measure(t) for t in folded], pa.float64()), pa.array(found, pa.list_(pa.string()))], names=["label", "x", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([lexicon.measure(fold(t.as_py())) for t in batch.column(0)], pa.float64())], names=["label", "x"])
 
-    return [(int(r["label"] > 0), r["x"], r["found"]) for r in sample.mapInArrow(run, "label int, x double, found array<string>").collect()]
+    return sorted((int(r["label"] > 0), r["x"]) for r in sample.mapInArrow(run, "label int, x double").collect())
 
 
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,8 +223,9 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
             measures, numbers = [], []
             for t in batch.column(1):
                 folded = fold(t.as_py())
-                measures.append(lexicon.measure(folded))
-                numbers.append(len(lexicon.matches(folded)) if measures[-1] else 0)
+                found = lexicon.matches(folded)
+                measures.append(lexicon.measure(folded, found))
+                numbers.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(measures, pa.float64()), pa.array([lexicon.score(m) for m in measures], pa.float64()), pa.array(numbers, pa.int32())], names=[key, "measure", "score", "n_matches"])
 
     rows = only(docs, key, text)
