@@ -13,7 +13,12 @@ unchanged around any match, and grams of no item count nothing. That loses no ma
 Items come in blocks of bounded size, each held against all documents in one pass without a shuffle; a
 benchmark of any size is more passes. Items of fewer than ``least_words`` words are searched for without embeddings: of an
 item cut into floor(n * edits) + 1 pieces one stands unchanged in any match, so the places of all pieces are
-looked up and held against the item; none is missed. Items without an id are searched for too (item_id null). Null texts and texts without words match nothing. Repeated rows give repeated results; further columns don't matter.
+looked up and held against the item; none is missed.
+
+Ids of items may be of any type that can be ordered. Items without an id are searched for too (item_id null); items of one id and several texts
+each on their own. Null texts and texts without words, of documents and items, match nothing. Empty tables, of documents or items, give
+an empty result (``clean``: all documents). Repeated rows give repeated results, repeated items one; very long texts are worked on in one piece of their own;
+further columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnstone.llm.arrays import SPACE, U64, buffer_of, fold_ascii, mix, rolling, span_hashes
 from turnstone.llm.common import only, sliced
@@ -297,7 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, rec
     rows = only(docs, key, text)
     kind, item_kind = rows.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType
     schema = f"`{key}` {kind}, item_id {item_kind.simpleString()}, edits int, item_words int, start_word long, end_word long"
-    out = None
+    id_kind, out = to_arrow_type(item_kind), None
     for tables in item_blocks(benchmark, least_words, edits, recall, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], tables: Tables = tables) -> Iterator[pa.RecordBatch]:
@@ -306,7 +312,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, rec
                 found = tables.matches(words, borders)
                 t, i, e, a, b = ([x[c] for x in found] for c in range(5))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(t, pa.int64())), pa.array([tables.ids[x] for x in i], pa.int64()), pa.array(e, pa.int32()), pa.array([len(tables.items[x]) for x in i], pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                    [batch.column(0).take(pa.array(t, pa.int64())), pa.array([tables.ids[x] for x in i], id_kind), pa.array(e, pa.int32()), pa.array([len(tables.items[x]) for x in i], pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                     names=[key, "item_id", "edits", "item_words", "start_word", "end_word"],
                 )
 
