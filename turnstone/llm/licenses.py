@@ -14,8 +14,9 @@ retrieves the template; none is missed.
 Retrieved templates are confirmed by exact containment: the share of the template's shingles that stand in
 the stretch of the template's length to both sides of the window or shingle.
 
-Null texts and texts of fewer than three words hold nothing. Repeated rows give repeated results, an empty table
-none. The key may be null. Further columns don't matter.
+A hit takes along the stretch that the longest template could cover, not the text. Null texts and texts of fewer than three words hold
+nothing. Repeated rows give repeated results, an empty table none; of places that fit alike the first counts. Very long texts are
+searched whole. The key may be null. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
     "all-rights-reserved-line": "All rights reserved.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
 }
@@ -106,18 +112,26 @@ def scan(docs: DataFrame, containment: float = 0.8, templates: dict[str, str] |
             out = out | F.least(F.get(F.get("blocks", i), F.lit(b)), F.get(F.get("blocks", i + 1), F.lit(b))).isin(known_values)
         return out
 
-    met = F.transform(F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), meets), lambda i: F.struct((i * BLOCK).alias("at"), F.lit(per_window).alias("long")))
-    single = F.filter(F.transform("shingles", lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("long"), x.alias("value"))), lambda x: x["value"].isin(values[BANDS]))
-    single = F.transform(single, lambda x: F.struct(x["at"].alias("at"), x["long"].alias("long")))
-    hits = blocked.select("key", "shingles", "row", F.explode(F.concat(met, single)).alias("hit")).select("key", "shingles", "row", "hit.at", "hit.long")
-    part = _stretch(F.col("shingles"), F.col("at"), per_window)
-    of_window = F.array(*[F.struct(F.lit(b).alias("band"), least(part, m).alias("value")) for b, m in enumerate(masks())])
-    of_shingle = F.array(F.struct(F.lit(BANDS).alias("band"), F.get("shingles", F.col("at")).alias("value")))
-    banded = hits.select("key", "row", "at", "long", "shingles", F.explode(F.when(F.col("long") == 1, of_shingle).otherwise(of_window)).alias("x"))
-    retrieved = banded.join(F.broadcast(bands), (F.col("x.band") == F.col("band")) & (F.col("x.value") == F.col("value"))).select("key", "row", "at", "long", "license", "shingles")
+    longest = max((r["n"] for r in known.select(F.size("own").alias("n")).collect()), default=0)
+    span = F.col("shingles")
+
+    def hit(at: Column, long: int, found: Column) -> Column:
+        begin = F.greatest(F.lit(0), at - longest)
+        return F.struct(at.alias("at"), F.lit(long).alias("long"), begin.alias("begin"), _stretch(span, begin, at - begin + long + longest).alias("near"), found.alias("found"))
+
+    def bands_of(i: Column) -> Column:
+        part = lambda b: F.least(F.get(F.get("blocks", i), F.lit(b)), F.get(F.get("blocks", i + 1), F.lit(b)))
+        return F.array_compact(F.array(*[F.when(part(b).isin(v), F.struct(F.lit(b).alias("band"), part(b).alias("value"))) for b, v in enumerate(values[:BANDS]) if v]))
+
+    met = F.transform(F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), meets), lambda i: hit(i * BLOCK, per_window, bands_of(i)))
+    single = F.filter(F.transform("shingles", lambda x, i: F.struct(i.alias("at"), x.alias("value"))), lambda x: x["value"].isin(values[BANDS]))
+    single = F.transform(single, lambda x: hit(x["at"], 1, F.array(F.struct(F.lit(BANDS).alias("band"), x["value"].alias("value")))))
+    hits = blocked.select("key", "row", F.explode(F.concat(met, single) if any(values[:BANDS]) else single).alias("hit")).select("key", "row", "hit.*")
+    banded = hits.select("key", "row", "at", "long", "begin", "near", F.explode("found").alias("x"))
+    retrieved = banded.join(F.broadcast(bands), (F.col("x.band") == F.col("band")) & (F.col("x.value") == F.col("value"))).select("key", "row", "at", "long", "license", "begin", "near")
     length = F.size("own")
     begin = F.greatest(F.lit(0), F.col("at") - length)
-    region = _stretch(F.col("shingles"), begin, F.col("at") - begin + F.col("long") + length)
+    region = _stretch(F.col("near"), begin - F.col("begin"), F.col("at") - begin + F.col("long") + length)
     share = F.size(F.array_intersect(F.array_distinct("own"), region)) / F.size(F.array_distinct("own"))
     place = F.array_position(region, F.element_at("own", 1))
     judged = retrieved.join(F.broadcast(known), "license").select("key", "row", "license", share.alias("containment"), F.when(place > 0, begin + place.cast("int") - 1).otherwise(F.col("at")).alias("first_word"))
