@@ -114,10 +114,25 @@ def test_bm25_equals_a_full_text_index(spark):
     db.executemany("insert into t(rowid, body) values (?, ?)", list(enumerate(texts)))
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, body string")
     post = I.postings(rows, "latin", ["body"], I.stemmed)
-    sizes = I.lengths(post)
-    stats = I.corpus(rows.select(F.lit("latin").alias("source"), "chunk_id"), sizes)
+    stats = I.corpus(rows.select(F.lit("latin").alias("source"), "chunk_id"), post)
     for terms in (["delivery"], ["rules", "order"], ["order/x.ts", "nothing"], ["delivery", "delivery"]):
         wanted = I.phrases(spark.createDataFrame([("q", "latin", i, t) for i, t in enumerate(terms)], "qid string, source string, phrase_no int, term string"), I.stemmed)
-        got = {r["chunk_id"]: round(r["score"], 9) for r in I.bm25(I.phrase_hits(post, wanted), sizes, stats).collect()}
+        got = {r["chunk_id"]: round(r["score"], 9) for r in I.bm25(post, wanted, stats).collect()}
         match = " OR ".join(f'"{t}"' for t in terms)
         assert got == {str(i): round(s, 9) for i, s in db.execute("select rowid, rank from t where t match ?", (match,))}
+
+
+def test_contained_equals_a_plain_search(spark):
+    import random
+
+    rng = random.Random(7)
+    values = ["".join(rng.choice("abc/é") for _ in range(rng.randrange(0, 9))) for _ in range(300)]
+    patterns = ["a", "é", "ab", "/c", "abc", "ca/b", "bbbb", "", "abc/éabcd", "zz"]
+    rows = spark.createDataFrame([(f"c{i % 120:03}", v) for i, v in enumerate(values)] + [("c999", None)], "chunk_id string, v string")
+    asked = spark.createDataFrame([(f"q{i % 3}", p) for i, p in enumerate(patterns)], "qid string, pattern string")
+    for most in (4, 1000):
+        want = set()
+        for i, p in enumerate(patterns):
+            hits = sorted({f"c{k % 120:03}" for k, v in enumerate(values) if p and p in v})[:most]
+            want |= {(f"q{i % 3}", c) for c in hits}
+        assert {tuple(r) for r in R.contained(rows, "v", asked, most).collect()} == want

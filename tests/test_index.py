@@ -108,7 +108,10 @@ def test_many_queries_are_one_plan(built, project):
 def test_detail_is_bound_to_the_project(built, project):
     tables = built[0].tables()
     one = tables["chunks"].first()["chunk_id"]
-    assert len(Q.chunk_detail(tables, one, project.project_id).collect()) == 1
+    found = Q.chunk_detail(tables, one, project.project_id).collect()
+    assert len(found) == 1 and found[0]["source_path"].endswith("one_x.jsonl")
+    shown = Q.render_detail(found[0])
+    assert one in shown and "one_x" not in shown and "steps:" in shown
     assert Q.chunk_detail(tables, one, "0" * 64).collect() == []
 
 
@@ -169,14 +172,74 @@ def test_another_project_is_refused(spark, built):
         Index(spark, str(built[0].path), S.project_of("/other"))
 
 
-def test_lease(tmp_path):
+def test_lease(spark, tmp_path):
+    import socket
+
     from turnstone.plans import lease
+    from turnstone.plans.files import Files
 
-    first = lease.acquire(tmp_path / "w.lock")
-    assert first is not None and lease.acquire(tmp_path / "w.lock") is None
+    files = Files(spark, str(tmp_path))
+    first = lease.acquire(files)
+    assert first is not None and lease.acquire(files) is None
     assert first.release() and not first.release()
-    (tmp_path / "w.lock").write_text(json.dumps({"pid": 2**22 + 7, "token": "x"}))
-    assert lease.acquire(tmp_path / "w.lock") is not None
+    for said, free in (({"pid": 2**22 + 7}, True), ({"pid": 1}, False), ({"pid": 2**22 + 7, "host": "elsewhere"}, False), ({"pid": 2**22 + 7, "host": socket.gethostname()}, True), (None, False)):
+        files.delete("writer.lock")
+        files.create("writer.lock", "{" if said is None else json.dumps(said | {"token": "x"}))
+        assert (lease.acquire(files) is not None) == free
+
+
+def test_files(spark, tmp_path):
+    from turnstone.plans.files import Files
+
+    files = Files(spark, str(tmp_path / "f"))
+    assert files.names() == [] and files.read("a") is None and files.age("a") is None and not files.delete("a")
+    assert files.create("a", "é1") and not files.create("a", "2") and files.read("a") == "é1"
+    files.replace("a", "3", "b")
+    assert files.read("a") == "3" and files.names() == ["a"] and files.age("a") < 60
+
+
+def test_a_failed_build_publishes_nothing(spark, tmp_path, project, monkeypatch):
+    from turnstone.plans import index as module
+
+    write(tmp_path / "l", "a.jsonl", delivery("a"))
+    index = Index(spark, str(tmp_path / "i"), project)
+    index.refresh(str(tmp_path / "l"))
+    was, names = index.meta(), index.files.names()
+    write(tmp_path / "l", "b.jsonl", delivery("b"))
+    monkeypatch.setattr(module, "check", lambda tables: {"orphan_rows": 1})
+    with pytest.raises(IndexMismatch):
+        index.refresh(str(tmp_path / "l"))
+    assert index.meta() == was and index.files.names() == names
+    monkeypatch.undo()
+    assert index.refresh(str(tmp_path / "l")).chunks == 4
+
+
+def test_integrity(built):
+    from turnstone.plans.index import check
+
+    tables = built[0].tables()
+    assert not any(check(tables).values())
+    assert check(tables | {"postings": tables["postings"].limit(0)})["chunks_without_postings"] == 2
+    assert check(tables | {"chunks": tables["chunks"].limit(1)})["orphan_rows"] > 0
+
+
+def test_files_that_are_left_out_are_known(spark, tmp_path, project, monkeypatch):
+    write(tmp_path / "l", "a.jsonl", delivery("a"))
+    write(tmp_path / "l", "empty.jsonl", [])
+    write(tmp_path / "l", "big.jsonl", [header("big"), message("u", None, "user", "x" * 9000)])
+    monkeypatch.setattr(S, "MAX_FILE_BYTES", 8000)
+    index = Index(spark, str(tmp_path / "i"), project)
+    done = index.refresh(str(tmp_path / "l"))
+    assert (done.added, done.rejected, done.too_large) == (3, 2, 1)
+    assert index.refresh(str(tmp_path / "l")).unchanged == 3
+
+
+def test_status_tells_settings_and_figures(spark, built):
+    from turnstone.plans.settings import Settings
+
+    row = built[0].status(Settings(min_relevance=55)).first()
+    assert (row["min_relevance"], row["enabled"], row["chunks"], row["indexed_sessions"], row["skipped_foreign"], row["skipped_missing_cwd"]) == (55, True, 2, 1, 1, 0)
+    assert built[0].status(Settings(enabled=False)).first()["chunks"] == 0
 
 
 def test_settings(tmp_path):
@@ -227,7 +290,12 @@ def test_commands(spark, tmp_path):
     found = history.search_project_history("parser", now_ms=0).collect()
     assert [r["user_entry_id"] for r in found] == ["u"] and list(found[0]["symbols"]) == ["parse_tree"]
     assert history.read_project_history(found[0]["chunk_id"]).first()["assistant_text"] == "In `parse_tree`."
+    assert "In `parse_tree`." in history.read_as_text(found[0]["chunk_id"]) and "No chunk x" in history.read_as_text("x")
     assert history.status().first()["chunks"] == 1
-    assert history.clear() and history.read_project_history("x") is None
+    assert history.clear() and history.index.tables() is None
     assert commands.main(["off", "--root", str(root), "--logs", "l", "--index", "i"]) == 0
+    assert commands.main(["query", "parser", "--root", str(root), "--logs", "l", "--index", "i"]) == 1
+    assert commands.parsed(["how", "to"]) == ("query", ["how", "to"]) and commands.parsed(["Status"]) == ("status", [])
+    assert commands.parsed([], ask=lambda cs: cs[-1]) == ("help", []) and commands.parsed([]) == ("help", [])
+    assert commands.completions("re") == ["read", "rebuild"] and all(c in commands.help_text() for c in commands.COMMANDS)
     commands.forget()

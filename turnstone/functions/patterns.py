@@ -10,8 +10,11 @@ from __future__ import annotations
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: White space by Unicode, for the inside of a character class.
 BLANK = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-#: Han, kana and compatibility ideographs, for the inside of a character class.
-CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
+#: Kana, Han and compatibility ideographs.
+CJK_RANGES = [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
+#: The same for the inside of a character class, of Java and of Python.
+CJK = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in CJK_RANGES)
+CJK_PYTHON = "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES)
 
 #: What is taken for a secret and what stands in its place, in the order of replacement.
 SECRETS = [
@@ -21,7 +24,7 @@ SECRETS = [
     (rf"{EDGE}xox[baprs]-[A-Za-z0-9-]{{10,}}{EDGE}", "[REDACTED_TOKEN]"),
     (rf"(?i){EDGE}Bearer[{BLANK}]+[A-Za-z0-9\-._~+/]+=*{EDGE}", "Bearer [REDACTED]"),
     (rf"(?i){EDGE}(?:api[_-]?key|token|password|secret)[{BLANK}]*[:=][{BLANK}]*[\"']?[^{BLANK}\"']{{8,}}[\"']?", "[REDACTED_CREDENTIAL]"),
-    (rf"{EDGE}[A-Za-z0-9+/]{{40,}}=?=?{EDGE}", "[REDACTED_BLOB]"),
+    (rf"{EDGE}[A-Za-z0-9+/]{{40,}}={{0,2}}{EDGE}", "[REDACTED_BLOB]"),
 ]
 
 #: What a text must hold, in lower case, for the pattern of the same place to match; the last is a pattern of its own.

@@ -15,6 +15,7 @@ STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 _WORD = re.compile(r"[a-z]+$")
+_RUN = re.compile(r"[a-z0-9]+")
 
 
 def _shape(word: str) -> str:
@@ -83,8 +84,11 @@ def tokens(text: str | None, stem: bool = True) -> list[str]:
     """Letters and digits by Unicode, lower case, without diacritics, stemmed."""
     if not text:
         return []
+    if text.isascii():
+        plain = _RUN.findall(text.lower())
+        return [porter(w) for w in plain] if stem else plain
     out, word = [], []
-    for ch in text.lower() if text.isascii() else unicodedata.normalize("NFD", text.lower()):
+    for ch in unicodedata.normalize("NFD", text.lower()):
         kind = unicodedata.category(ch)
         if kind[0] in "LN" or kind == "Co":
             word.append(ch)

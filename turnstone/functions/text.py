@@ -64,7 +64,7 @@ def query_tokens(text: Column | str) -> Column:
 
 
 def mask_secrets(text: Column | str) -> Column:
-    """Secrets replaced, pattern after pattern. A pattern whose hint the text lacks is not searched for: one that never matches stands in."""
+    """Secrets replaced, pattern after pattern. A pattern whose hint the text lacks is not searched for."""
     text = col(text)
     lower, out = F.lower(text), text
     for (pattern, label), hint in zip(P.SECRETS, P.SECRET_HINTS, strict=True):
@@ -73,7 +73,7 @@ def mask_secrets(text: Column | str) -> Column:
             able = F.contains(lower, F.lit(hint[0]))
             for h in hint[1:]:
                 able = able | F.contains(lower, F.lit(h))
-        out = F.regexp_replace(out, F.when(able, F.lit(pattern)).otherwise(F.lit(r"\A(?!)")), F.lit(label))
+        out = F.when(able, F.regexp_replace(out, F.lit(pattern), F.lit(label))).otherwise(out)
     return out
 
 

@@ -33,7 +33,7 @@ def _finder(rules: list[str], keep):
             for rule in compiled:
                 for m in rule.finditer(text or ""):
                     value = m.group(1)
-                    if keep(value):
+                    if keep(value):  # ASCII alone, so it is composed already
                         seen.setdefault(value.lower(), {"value": value, "place": m.start(), "context": _around(text, m.start())})
             return list(seen.values())
 

@@ -13,6 +13,16 @@ def manifest_diff(known: DataFrame, listed: DataFrame, key: str = "source_path",
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def gone(known: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Keys that are known and were not seen."""
+    return known.select(key).join(seen.select(key), key, "left_anti").distinct()
+
+
+def counts(rows: DataFrame, session: str, place: str) -> DataFrame:
+    """One row: entries, sessions and the last place."""
+    return rows.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct(session).alias("sessions"), F.max(place).alias("last_turn"))
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("unchanged", "added", "modified", "deleted")])
 

@@ -1,8 +1,9 @@
 """Inverted index and BM25 with phrases.
 
-A posting is (source, chunk_id, col, pos, token). A query's terms are phrases: their tokens must stand one behind the
-other in one column. Postings of a token are found by a join on the token; terms come from queries, a small side that
-Spark may broadcast by its size. A score is the sum over phrases; common words count next to nothing.
+A posting is (source, token, chunk_id, f, len, at): how often a token stands in a chunk, the chunk's tokens in all, and the token's places
+(column << 32 | position, ascending). A query's terms are phrases: their tokens must stand one behind the other in one column. A term of one
+token, as most are, needs no places: its score follows from the posting alone. Postings of a token are found by a join on the token; terms come
+from queries, a small side that Spark may broadcast by its size. A score is the sum over phrases; common words count next to nothing.
 """
 
 from __future__ import annotations
@@ -30,24 +31,31 @@ def plain(texts: pd.Series) -> pd.Series:
 
 
 def postings(rows: DataFrame, source: str, columns: list[str], tokens_of, key: str = "chunk_id") -> DataFrame:
-    """(source, chunk_id, col, pos, token) of the columns of a table."""
-    parts = F.array(*[F.struct(F.lit(i).alias("col"), tokens_of(F.col(c)).alias("tokens")) for i, c in enumerate(columns)])
-    by_column = rows.select(F.col(key).alias("chunk_id"), F.explode(parts).alias("x"))
-    return by_column.select(F.lit(source).alias("source"), "chunk_id", F.col("x.col").alias("col"), F.posexplode("x.tokens").alias("pos", "token"))
+    """(source, token, chunk_id, f, len, at) of the columns of a table."""
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("col"), tokens_of(F.col(c)).alias("tokens")) for i, c in enumerate(columns)])
+    made = rows.select(F.col(key).alias("chunk_id"), parts.alias("parts"))
+    made = made.withColumn("len", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.lit(0), F.size(p["tokens"]))))
+    by_column = made.select("chunk_id", "len", F.explode("parts").alias("x"))
+    by_place = by_column.select("chunk_id", "len", F.col("x.col").alias("col"), F.posexplode("x.tokens").alias("pos", "token"))
+    place = F.shiftleft("col", 32) + F.col("pos")
+    found = by_place.groupBy("token", "chunk_id", "len").agg(F.count(F.lit(1)).alias("f"), F.array_sort(F.collect_list(place)).alias("at"))
+    return found.select(F.lit(source).alias("source"), "token", "chunk_id", "f", "len", "at")
 
 
 def lengths(of: DataFrame) -> DataFrame:
-    return of.groupBy("source", "chunk_id").agg(F.count(F.lit(1)).alias("len"))
+    """(source, chunk_id, len) of all that has tokens."""
+    return of.select("source", "chunk_id", "len").distinct()
 
 
-def corpus(rows: DataFrame, doc_lengths: DataFrame) -> DataFrame:
+def corpus(rows: DataFrame, of: DataFrame) -> DataFrame:
     """(source, n, avgdl): rows of each source (``rows``: source, chunk_id) and their mean length, those without tokens included."""
-    total = doc_lengths.groupBy("source").agg(F.sum("len").alias("total"))
+    total = of.groupBy("source").agg(F.sum("f").alias("total"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(total, "source", "left").select("source", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
 
 
 def document_frequency(of: DataFrame) -> DataFrame:
-    return of.groupBy("source", "token").agg(F.count_distinct("chunk_id").alias("df"))
+    """(source, token, df); a token has one posting in each chunk that holds it."""
+    return of.groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def phrases(terms: DataFrame, tokens_of) -> DataFrame:
@@ -57,10 +65,12 @@ def phrases(terms: DataFrame, tokens_of) -> DataFrame:
 
 
 def phrase_hits(of: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(qid, source, phrase_no, chunk_id, f): how often each phrase stands in each chunk."""
-    met = of.join(wanted, ["source", "token"]).withColumn("begin", F.col("pos") - F.col("place"))
-    whole = met.groupBy("qid", "source", "phrase_no", "size", "chunk_id", "col", "begin").agg(F.count(F.lit(1)).alias("n")).filter("n = size")
-    return whole.groupBy("qid", "source", "phrase_no", "chunk_id").agg(F.count(F.lit(1)).alias("f"))
+    """(qid, source, phrase_no, chunk_id, f, len): how often each phrase stands in each chunk."""
+    one = of.join(wanted.filter("size = 1"), ["source", "token"]).select("qid", "source", "phrase_no", "chunk_id", "f", "len")
+    met = of.join(wanted.filter("size > 1"), ["source", "token"]).withColumn("begin", F.explode("at"))
+    met = met.withColumn("begin", F.col("begin") - F.col("place"))
+    whole = met.groupBy("qid", "source", "phrase_no", "size", "chunk_id", "begin").agg(F.count(F.lit(1)).alias("n"), F.first("len").alias("len")).filter("n = size")
+    return one.unionByName(whole.groupBy("qid", "source", "phrase_no", "chunk_id").agg(F.count(F.lit(1)).alias("f"), F.first("len").alias("len")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -68,15 +78,29 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
 
 
-def bm25(hits: DataFrame, doc_lengths: DataFrame, stats: DataFrame) -> DataFrame:
-    """(qid, source, chunk_id, score): lower is better."""
+def _part() -> Column:
+    return idf(F.col("n"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+
+
+def bm25(of: DataFrame, wanted: DataFrame, stats: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """(qid, source, chunk_id, score) of the phrases ``wanted`` in the postings; lower is better. ``frequency``: their (source, token, df) where it is stored."""
+    frequency = document_frequency(of) if frequency is None else frequency
+    # Terms of one token: the same token several times in a query counts as often.
+    single = wanted.filter("size = 1").groupBy("qid", "source", "token").agg(F.count(F.lit(1)).alias("times"))
+    single = single.join(frequency, ["source", "token"]).join(stats, "source")
+    one = of.select("source", "token", "chunk_id", "f", "len").join(single, ["source", "token"]).select("qid", "source", "chunk_id", (F.col("times") * _part()).alias("part"))
+    hits = phrase_hits(of, wanted.filter("size > 1"))
     seen = hits.groupBy("qid", "source", "phrase_no").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(seen, ["qid", "source", "phrase_no"]).join(doc_lengths, ["source", "chunk_id"]).join(stats, "source")
-    part = idf(F.col("n"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return rows.groupBy("qid", "source", "chunk_id").agg((-F.sum(part)).alias("score"))
+    several = hits.join(seen, ["qid", "source", "phrase_no"]).join(stats, "source").select("qid", "source", "chunk_id", _part().alias("part"))
+    return one.unionByName(several).groupBy("qid", "source", "chunk_id").agg((-F.sum("part")).alias("score"))
 
 
 def best(scores: DataFrame, order: DataFrame, most: int = P.FTS_LIMIT) -> DataFrame:
-    """The best ``most`` of each query and source with ``rank`` from 1; ties by ``doc_seq`` of ``order`` (chunk_id, doc_seq)."""
-    by = Window.partitionBy("qid", "source").orderBy("score", "doc_seq")
-    return scores.join(order, "chunk_id").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most).drop("doc_seq")
+    """The best ``most`` of each query and source with ``rank`` from 1; ties by ``doc_seq`` of ``order`` (chunk_id, doc_seq).
+
+    Each partition keeps its own best before the rows of a query meet; only those, and ties with the last, are given their order.
+    """
+    of = Window.partitionBy("qid", "source")
+    near = scores.withColumn("rank", F.rank().over(of.orderBy("score"))).filter(F.col("rank") <= most).drop("rank")
+    ranked = near.join(order, "chunk_id").withColumn("rank", F.row_number().over(of.orderBy("score", "doc_seq")))
+    return ranked.filter(F.col("rank") <= most).drop("doc_seq")

@@ -21,9 +21,28 @@ def _limited(found: DataFrame, most: int) -> DataFrame:
     return found.select("qid", "pattern", "chunk_id").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select("qid", "chunk_id")
 
 
+#: Characters of the grams by which patterns find values.
+GRAM = 3
+
+
 def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int) -> DataFrame:
-    """(qid, chunk_id): for each pattern (qid, pattern) up to ``most`` chunks with a value that holds it, the least ids first."""
-    return _limited(rows.select("chunk_id", value).join(F.broadcast(patterns), F.contains(F.col(value), F.col("pattern"))), most)
+    """(qid, chunk_id): for each pattern (qid, pattern) up to ``most`` chunks with a value that holds it, the least ids first.
+
+    A pattern meets the values that hold its first gram (of three characters, or as many as it has), by a join on that gram,
+    and is then looked for. Values are taken once each, however many rows have them. An empty pattern asks for nothing.
+    """
+    distinct = rows.select(F.col(value).alias("_v")).filter("_v is not null").distinct()
+    asked = patterns.select("pattern").filter("pattern is not null").distinct()
+    found = None
+    for n in range(1, GRAM + 1):
+        size = F.char_length("pattern")
+        of = asked.filter(size == n if n < GRAM else size >= n).withColumn("_g", F.substring("pattern", 1, n))
+        last = F.char_length("_v") - n + 1
+        grams = distinct.filter(last >= 1).withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("_v"), i, F.lit(n))))))  # noqa: B023
+        met = grams.join(of, "_g").filter(F.contains("_v", "pattern")).select("pattern", "_v")
+        found = met if found is None else found.unionByName(met)
+    pairs = found.join(rows.select("chunk_id", F.col(value).alias("_v")), "_v").select("pattern", "chunk_id").distinct()
+    return _limited(pairs.join(patterns, "pattern"), most)
 
 
 def candidates(fts: DataFrame, queries: DataFrame, entities: DataFrame, constraints: DataFrame, steps: DataFrame) -> DataFrame:
@@ -110,6 +129,15 @@ def result_order() -> list[Column]:
     return [*[F.desc(c) for c in ORDER], F.asc("chunk_id")]
 
 
+def first(rows: DataFrame, most: int, by: str, *order: Column) -> DataFrame:
+    """The first ``most`` rows of each value of ``by`` with ``place`` from 1; each partition keeps its own first before they meet."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= most)
+
+
+def good_enough(rows: DataFrame, min_relevance: int, min_confidence: int) -> DataFrame:
+    return rows.filter((F.col("relevance") >= min_relevance) & (F.col("confidence") >= min_confidence))
+
+
 def siblings(chunks: DataFrame, most: int = 8) -> DataFrame:
     """(chunk_id, sibling_ids): other complete chunks of the same user entry, the first eight by id."""
     other = chunks.filter("status = 'complete'").select("session_id", "user_entry_id", F.col("chunk_id").alias("sibling"))

@@ -104,3 +104,9 @@ def variant_limits(distinct: DataFrame, per_user: int = P.MAX_VARIANTS, per_sess
         F.array_sort(F.collect_list(F.when(F.col("n") > per_user, F.col("user_entry_id")))).alias("limited_user_entry_ids"),
     )
     return found.withColumn("variant_limit_hit", F.col("most_variants") > per_user).withColumn("chunk_limit_hit", F.col("chunk_count") > per_session).filter("variant_limit_hit or chunk_limit_hit")
+
+
+def said(messages: DataFrame, within: str, place: str = "ord", name: str = "assistant") -> DataFrame:
+    """(within, name): the texts of each group, in order, a line each; blank ones are left out."""
+    told = messages.filter("text <> ''").groupBy(within)
+    return told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "text"))), lambda x: x["text"]), "\n").alias(name))

@@ -18,6 +18,8 @@ from turnstone.plans.staging import lazy
 from turnstone.sources.sessions import Project
 
 TABLES = ("chunks", "entities", "constraints", "trace_steps", "evidence", "postings")
+#: Made of the whole tables, for searches.
+STATISTICS = ("terms", "corpus")
 
 
 def _ordered(rows: DataFrame, *by: str) -> DataFrame:
@@ -25,21 +27,27 @@ def _ordered(rows: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*by))).drop(*[c for c in by if c not in ("step_order",)])
 
 
-def limited_sessions(entries: DataFrame) -> DataFrame:
-    """Sessions beyond the limits on variants and chunks."""
-    placed = T.turns(T.ranked_paths(T.leaf_paths(entries)), entries)
-    return T.variant_limits(T.first_variants(T.variants(placed)))
+def statistics(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Document frequencies of all tokens, and number and mean length of each source's rows."""
+    sources = tables["chunks"].select(F.lit("latin").alias("source"), "chunk_id").unionByName(tables["postings"].filter("source = 'cjk'").select("source", "chunk_id").distinct())
+    return {"terms": I.document_frequency(tables["postings"]).sortWithinPartitions("source", "token"), "corpus": I.corpus(sources, tables["postings"])}
+
+
+def by_token(postings: DataFrame) -> DataFrame:
+    """Postings in ranges of tokens, in order, so that a search for a word reads the files and row groups that have it. Common words fill ranges of their own."""
+    return postings.repartitionByRange("source", "token", "chunk_id").sortWithinPartitions("source", "token", "chunk_id")
 
 
 def build(entries: DataFrame, project: Project, active_sessions: DataFrame | None = None, own_markers: tuple[str, ...] = ("turnstone",), stage=lazy) -> dict[str, DataFrame]:
-    """All tables of an index over the entries. ``active_sessions`` (session_id): sessions whose last turn may be open.
+    """All tables of an index over the entries, and ``limited``: the sessions beyond the limits on variants and chunks, of which nothing is built.
 
-    ``stage(frame, name)`` may write what several tables are made from.
+    ``active_sessions`` (session_id): sessions whose last turn may be open. ``stage(frame, name)`` may write what several tables are made from.
     """
     root = F.lit(project.root)
     placed = stage(T.turns(T.ranked_paths(T.leaf_paths(entries)), entries), "placed")
     distinct = stage(T.first_variants(T.variants(placed)), "variants")
-    distinct = distinct.join(T.variant_limits(distinct), "session_id", "left_anti")
+    limited = T.variant_limits(distinct)
+    distinct = distinct.join(limited, "session_id", "left_anti")
     distinct = distinct.withColumn("chunk_id", T.chunk_id(F.lit(project.project_id), F.col("session_id"), F.col("user_entry_id"), F.col("variant_hash")))
     distinct = stage(distinct, "chunk_ids")
     member = stage(placed.join(distinct.select("chunk_id", "session_id", "leaf_id", "turn_no"), ["session_id", "leaf_id", "turn_no"]), "members")
@@ -47,7 +55,7 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
     said, got = message.filter("role = 'assistant'"), message.filter("role = 'toolResult' and tool_call_id <> ''")
 
     user = message.filter("role = 'user'").groupBy("chunk_id").agg(F.max_by("text", "ord").alias("user"))
-    told = said.filter("text <> ''").groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("assistant"))
+    told = T.said(said, "chunk_id")
     calls = said.select("chunk_id", "ord", "entry_id", F.explode("calls").alias("c")).select("chunk_id", "ord", "entry_id", "c.*")
     paired = TL.pair_results(calls, got.select("chunk_id", "ord", "entry_id", "tool_call_id", "text", "is_error"))
     paired = stage(paired, "paired")
@@ -100,9 +108,11 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
             rows(TL.with_found(paired), 1, TL.call_entities(F.col("tool_name"), F.col("arguments"), root)),
         ],
     )
+    entities = entities.withColumn("normalized_value", X.nfc("normalized_value"))
     entities = stage(E.dedupe_entities(_ordered(entities, "_phase", "_ord", "_sub", "_i")), "entities")
     chunks = stage(chunks, "chunks")
-    constraints = E.dedupe_constraints(_ordered(rows(said, 0, E.constraints("text")), "_phase", "_ord", "_sub", "_i"))
+    stated = rows(said, 0, E.constraints("text")).withColumn("normalized_text", X.nfc("normalized_text"))
+    constraints = E.dedupe_constraints(_ordered(stated, "_phase", "_ord", "_sub", "_i"))
 
     excluded = rows(said, 0, E.exclusions("text")).select(
         "chunk_id",
@@ -121,7 +131,7 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
     steps = _ordered(excluded.unionByName(steps), "_phase", "_at", "step_order")
 
     found = found.select(F.when(F.col("evidence_scope") == "chunk", F.col("chunk_id")).alias("chunk_id"), "session_id", F.col("entry_id").alias("source_entry_id"), "evidence_type", "evidence_scope", "text", "confidence").distinct()
-    return {"chunks": chunks, "entities": entities, "constraints": constraints, "trace_steps": steps, "evidence": found, "postings": index_texts(chunks, entities)}
+    return {"chunks": chunks, "entities": entities, "constraints": constraints, "trace_steps": steps, "evidence": found, "postings": index_texts(chunks, entities), "limited": limited}
 
 
 def index_texts(chunks: DataFrame, entities: DataFrame) -> DataFrame:

@@ -1,19 +1,19 @@
-"""An index on disk: generations of Parquet tables, and one pointer to the present one.
+"""An index on any file system: generations of Parquet tables, and one pointer to the present one.
 
 A refresh compares the listing with the manifest, builds what changed, keeps the rest, checks that the result is whole and
 moves the pointer. Sessions beyond the limits keep their earlier rows. A build can be thrown away and made
-again with the same result.
+again with the same result. Pointer, lock and deletions go through the file system that the tables are on, so all drivers see one
+index. A generation holds postings by token, and what a search needs of all of them (lengths are in the postings, document
+frequencies and means in tables of their own), so a search reads the postings of its words only.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
-from dataclasses import dataclass, replace
-from pathlib import Path
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from turnstone.operators import manifest as M
 from turnstone.plans import build as B
 from turnstone.plans import lease as L
+from turnstone.plans.files import Files
+from turnstone.plans.settings import Settings
 from turnstone.plans.staging import Staging
 from turnstone.sources import sessions as S
 
@@ -45,13 +47,15 @@ class Refresh:
     deleted: int = 0
     rejected: int = 0
     limited: int = 0
+    too_large: int = 0
     chunks: int = 0
     seconds: float = 0.0
 
 
 class Index:
     def __init__(self, spark: SparkSession, path: str, project: S.Project, by_content: bool = False):
-        self.spark, self.path, self.project, self.by_content = spark, Path(path), project, by_content
+        self.spark, self.path, self.project, self.by_content = spark, str(path), project, by_content
+        self.files = Files(spark, self.path)
         meta = self.meta()
         if meta:
             for key, own in (("project_id", project.project_id), ("root", project.root)):
@@ -61,27 +65,18 @@ class Index:
                 self.clear()
 
     def meta(self) -> dict:
-        try:
-            return json.loads((self.path / "current.json").read_text())
-        except OSError:
-            return {}
-
-    def _folder(self) -> Path | None:
-        at = self.meta().get("generation")
-        return self.path / at if at else None
+        return json.loads(self.files.read("current.json") or "{}")
 
     def tables(self) -> dict[str, DataFrame] | None:
         """The present tables; None before the first build."""
-        at = self._folder()
-        return {t: self.spark.read.parquet(str(at / t)) for t in (*B.TABLES, "sessions")} if at else None
+        at = self.meta().get("generation")
+        return {t: self.spark.read.parquet(self.files.path(f"{at}/{t}")) for t in (*B.TABLES, *B.STATISTICS, "sessions")} if at else None
 
     def clear(self) -> list[str]:
         """Delete pointer and generations; the names of what went."""
-        gone = []
-        for p in sorted(self.path.glob("*")) if self.path.exists() else []:
-            if p.name == "current.json" or p.name.startswith("gen-"):
-                gone.append(p.name)
-                shutil.rmtree(p) if p.is_dir() else p.unlink()
+        gone = [n for n in self.files.names() if n == "current.json" or n.startswith("gen-")]
+        for name in sorted(gone):  # the pointer first
+            self.files.delete(name)
         return gone
 
     def rebuild(self, folder: str, active_id: str | None = None) -> Refresh:
@@ -90,7 +85,7 @@ class Index:
 
     def refresh(self, folder: str, active_id: str | None = None) -> Refresh:
         """Bring the index up to the files of the folder."""
-        lease = L.acquire(self.path / "writer.lock")
+        lease = L.acquire(self.files)
         if lease is None:
             return Refresh(busy=True)
         began = time.time()
@@ -136,46 +131,81 @@ class Index:
         active = sessions.filter("is_active and rejected is null").select("session_id")
         new = B.build(entries, self.project, active, stage=stage)
         generation = f"gen-{uuid.uuid4().hex}"
-        at = self.path / generation
-        limited = B.limited_sessions(entries).select("session_id")
+        at = lambda name: self.files.path(f"{generation}/{name}")
+        limited = new.pop("limited").select("session_id")
         over = limited.count()
-        sessions.write.parquet(str(at / "sessions"))
+        sessions.write.parquet(at("sessions"))
         if old is not None:
             # Rows of sessions that still exist and weren't built anew stay; so do those of sessions beyond the limits.
             built = entries.select("session_id").distinct().join(limited, "session_id", "left_anti")
-            known = self.spark.read.parquet(str(at / "sessions")).filter("rejected is null").select("session_id")
+            known = self.spark.read.parquet(at("sessions")).filter("rejected is null").select("session_id")
             kept = old["chunks"].join(known, "session_id", "left_semi").join(built, "session_id", "left_anti").select("session_id", "chunk_id")
             for name in B.TABLES:
                 key = BY_SESSION.get(name, "chunk_id")
                 new[name] = new[name].unionByName(old[name].join(kept.select(key).distinct(), key, "left_semi").select(new[name].columns))
-        for name in B.TABLES:
-            new[name].write.parquet(str(at / name))
-        made = {t: self.spark.read.parquet(str(at / t)) for t in (*B.TABLES, "sessions")}
-        broken = {k: n for k, n in check(made).items() if n}
-        if broken:
-            shutil.rmtree(at)
-            raise IndexMismatch(f"the new generation isn't whole: {broken}")
+        try:
+            for name in B.TABLES:
+                (B.by_token(new[name]) if name == "postings" else new[name]).write.parquet(at(name))
+            made = {t: self.spark.read.parquet(at(t)) for t in (*B.TABLES, "sessions")}
+            for name, rows in B.statistics(made).items():
+                rows.write.parquet(at(name))
+            broken = {k: n for k, n in check(made).items() if n}
+            if broken:
+                raise IndexMismatch(f"the new generation isn't whole: {broken}")
+        except Exception:
+            self.files.delete(generation)
+            raise
         before = self.meta().get("generation")
-        pointer = self.path / f"current-{uuid.uuid4().hex}"
-        pointer.write_text(json.dumps({"generation": generation, "project_id": self.project.project_id, "root": self.project.root, "active": active_id, **VERSIONS}))
-        os.replace(pointer, self.path / "current.json")
-        out = Refresh(**counts, rejected=made["sessions"].filter("rejected is not null").count(), limited=over, chunks=made["chunks"].count())
+        out = Refresh(**counts, limited=over, chunks=made["chunks"].count(), **numbers(made["sessions"]))
+        pointer = {"generation": generation, "project_id": self.project.project_id, "root": self.project.root, "active": active_id, **VERSIONS, "last": asdict(out)}
+        self.files.replace("current.json", json.dumps(pointer), f"current-{uuid.uuid4().hex}")
         stage.drop()
         if before:
-            shutil.rmtree(self.path / before, ignore_errors=True)
+            self.files.delete(before)
         return out
 
-    def status(self) -> DataFrame:
-        """One row: versions, sessions, chunks, open chunks and the sizes of the tables."""
-        tables = self.tables()
-        if tables is None:
-            return self.spark.createDataFrame([(self.project.project_id, 0, 0)], "project_id string, sessions long, chunks long")
-        counts = [self.spark.range(1).select(F.lit(self.project.project_id).alias("project_id"))]
-        counts += [t.agg(F.count(F.lit(1)).alias(name)) for name, t in tables.items()]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.crossJoin(c)  # rows of one each
-        return out
+    def status(self, settings: Settings | None = None) -> DataFrame:
+        """One row: project, settings, whether it's on, the figures of the last refresh, and the rows of all tables."""
+        settings = settings or Settings()
+        said = {"project_id": self.project.project_id, "root": self.project.root, "index_path": self.path, **asdict(settings)}
+        kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+        tables = self.tables() if settings.enabled else None
+        out = self.spark.createDataFrame([tuple(float(v) if isinstance(v, int) and c.endswith("days") else v for c, v in said.items())], ", ".join(f"{c} {'double' if c.endswith('days') else kinds[type(v)]}" for c, v in said.items()))
+        figures = {**diagnostics(tables["sessions"], self.meta()), "chunks": 0} if tables else dict.fromkeys([*DIAGNOSTICS, "chunks"], 0)
+        if tables:
+            for name, t in tables.items():
+                if name not in B.STATISTICS:
+                    figures["chunks" if name == "chunks" else f"{name}_rows"] = t.count()
+            figures["indexed_chunks"] = figures["chunks"]
+        return out.withColumns({c: F.lit(n).cast("long") for c, n in figures.items()})
+
+
+#: What a status tells of sessions and refreshes.
+DIAGNOSTICS = ("skipped_missing_cwd", "skipped_foreign", "skipped_malformed", "skipped_too_large", "skipped_branch_limit", "dirty_sessions", "indexed_sessions", "indexed_chunks", "skipped_lease_busy", "hard_isolation_errors")
+
+
+def numbers(sessions: DataFrame) -> dict[str, int]:
+    found = {r["rejected"]: r["count"] for r in sessions.groupBy("rejected").count().collect()}  # one row for each reason
+    return {"rejected": sum(n for k, n in found.items() if k is not None), "too_large": found.get("too large", 0)}
+
+
+def diagnostics(sessions: DataFrame, meta: dict) -> dict[str, int]:
+    found = {r["rejected"]: r["count"] for r in sessions.groupBy("rejected").count().collect()}
+    last = meta.get("last", {})
+    out = dict.fromkeys(DIAGNOSTICS, 0)
+    out["skipped_missing_cwd"] = sessions.filter("rejected = 'another project' and header_cwd is null").count()
+    out["skipped_foreign"] = found.get("another project", 0) - out["skipped_missing_cwd"]
+    out["skipped_malformed"] = sum(n for k, n in found.items() if k not in (None, "another project", "too large"))
+    out["skipped_too_large"] = found.get("too large", 0)
+    out["skipped_branch_limit"] = last.get("limited", 0)
+    out["dirty_sessions"] = last.get("added", 0) + last.get("modified", 0)
+    out["indexed_sessions"] = found.get(None, 0)
+    return out
+
+
+def has_words():
+    """Whether a chunk's own texts hold anything that the full-text index takes for a word."""
+    return F.concat_ws(" ", "user_text", "assistant_text", "evidence_text").rlike("[A-Za-z0-9]")
 
 
 def check(tables: dict[str, DataFrame]) -> dict[str, int]:
@@ -185,6 +215,7 @@ def check(tables: dict[str, DataFrame]) -> dict[str, int]:
         "orphan_rows": sum(M.orphans(tables[t].filter("chunk_id is not null"), chunks).count() for t in B.TABLES if t != "chunks"),
         "double_chunks": chunks.groupBy("chunk_id").count().filter("count > 1").count(),
         "chunks_without_session": M.orphans(chunks, tables["sessions"], "session_id", "session_id").count(),
+        "chunks_without_postings": M.without(chunks.filter("status = 'complete'").filter(has_words()), tables["postings"].filter("source = 'latin'")).count(),
     }
 
 

@@ -1,4 +1,7 @@
-"""Search: one plan for one query or for many, keyed by ``qid``."""
+"""Search: one plan for one query or for many, keyed by ``qid``.
+
+Queries are a table of the caller's; whether it's broadcast is left to Spark, which knows its size.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from turnstone.functions import patterns as P
 from turnstone.functions import text as X
 from turnstone.operators import postings as I
 from turnstone.operators import ranking as R
+from turnstone.plans import build as B
 
 #: How many results, and the least scores.
 DEFAULT_RESULTS, MOST_RESULTS, MIN_RELEVANCE, MIN_CONFIDENCE = 5, 20, 40, 30
@@ -81,14 +85,14 @@ def query_tables(spark: SparkSession, queries: dict[str, str]) -> tuple[DataFram
 
 
 def full_text(index: dict[str, DataFrame], terms: DataFrame, most: int = P.FTS_LIMIT) -> DataFrame:
-    """(qid, source, chunk_id, score, rank) of the best hits in both sources."""
+    """(qid, source, chunk_id, score, rank) of the best hits in both sources; none for an index without its full-text tables."""
+    if "postings" not in index:
+        return terms.sparkSession.createDataFrame([], "qid string, source string, chunk_id string, score double, rank int")
     latin = I.phrases(terms.filter("source = 'latin'"), I.stemmed)
     wanted = latin.unionByName(I.phrases(terms.filter("source = 'cjk'"), I.plain))
-    sizes = I.lengths(index["postings"])
-    chunks = index["chunks"].select("chunk_id", F.concat_ws(" ", F.lpad(F.col("start_ts").cast("string"), 20, "0"), "chunk_id").alias("doc_seq"))
-    rows = chunks.select(F.lit("latin").alias("source"), "chunk_id").unionByName(sizes.filter("source = 'cjk'").select("source", "chunk_id"))
-    hits = I.phrase_hits(index["postings"], wanted)
-    return I.best(I.bm25(hits, sizes, I.corpus(rows, sizes)), chunks, most)
+    stored = index if "terms" in index else index | B.statistics(index)
+    order = index["chunks"].select("chunk_id", F.concat_ws(" ", F.lpad(F.col("start_ts").cast("string"), 20, "0"), "chunk_id").alias("doc_seq"))
+    return I.best(I.bm25(index["postings"], wanted, stored["corpus"], stored["terms"]), order, most)
 
 
 def search(index: dict[str, DataFrame], queries: dict[str, str], options: Options, project_id: str) -> DataFrame:
@@ -104,7 +108,7 @@ def search(index: dict[str, DataFrame], queries: dict[str, str], options: Option
         chunks = chunks.filter("status <> 'open'")
     if options.exclude_session:
         chunks = chunks.filter(F.col("session_id") != options.exclude_session)
-    pairs = found.join(F.broadcast(parts), "qid")
+    pairs = found.join(parts, "qid")
     constraints = index["constraints"].groupBy("chunk_id").agg(F.least(F.lit(12), F.count(F.lit(1))).alias("constraint_count"))
     rows = (
         found.join(chunks, "chunk_id")
@@ -132,14 +136,12 @@ def search(index: dict[str, DataFrame], queries: dict[str, str], options: Option
         X.clip("assistant_text", 300).alias("assistant_snippet"),
         "error_count",
         "has_verification",
-    ).filter((c("relevance") >= options.min_relevance) & (c("confidence") >= options.min_confidence))
-    scored = scored.join(R.siblings(index["chunks"]), "chunk_id", "left")
+    )
+    scored = R.good_enough(scored, options.min_relevance, options.min_confidence).join(R.siblings(index["chunks"]), "chunk_id", "left")
     if options.group_siblings:
         top = R.collapse(scored, options.most)
     else:
-        from pyspark.sql import Window
-
-        top = scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*R.result_order()))).filter(c("place") <= options.most)
+        top = R.first(scored, options.most, "qid", *R.result_order())
     return with_details(top, index).orderBy("qid", "place")
 
 
@@ -167,13 +169,42 @@ def with_details(top: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
 
 
 def chunk_detail(index: dict[str, DataFrame], chunk_id: str, project_id: str) -> DataFrame:
-    """One chunk of the project with its entities (surest first), constraints, steps (in order) and evidence."""
+    """One chunk of the project with its session's file, entities (surest first), constraints, steps (in order) and evidence."""
     one = index["chunks"].filter((F.col("chunk_id") == chunk_id) & (F.col("project_id") == project_id))
+    if "sessions" in index:
+        one = one.join(index["sessions"].filter("rejected is null").select("session_id", "source_path"), "session_id", "left")
     part = lambda name, order, cols: index[name].filter(F.col("chunk_id") == chunk_id).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias(name))
-    one = one.join(part("entities", [(-F.col("confidence")).alias("by"), "seq"], ["entity_type", "value", "normalized_value", "confidence", "source_entry_id"]), "chunk_id", "left")
-    one = one.join(part("constraints", ["seq"], ["text", "trigger_word", "source_entry_id"]), "chunk_id", "left")
-    one = one.join(part("trace_steps", ["step_order", "seq"], ["step_type", "target", "outcome", "status", "tool_name", "arguments_json", "source_entry_id"]), "chunk_id", "left")
-    return one.join(part("evidence", ["source_entry_id"], ["evidence_type", "evidence_scope", "text"]), "chunk_id", "left")
+    one = one.join(part("entities", [(-F.col("confidence")).alias("by"), "seq"], ["entity_type", "value", "normalized_value", "context", "confidence", "source_entry_id"]), "chunk_id", "left")
+    one = one.join(part("constraints", ["seq"], ["text", "trigger_word", "confidence", "source_entry_id"]), "chunk_id", "left")
+    one = one.join(part("trace_steps", ["step_order", "seq"], ["step_type", "target", "outcome", "status", "tool_name", "tool_call_id", "arguments_json", "source_entry_id", "result_entry_id"]), "chunk_id", "left")
+    return one.join(part("evidence", ["source_entry_id"], ["evidence_type", "evidence_scope", "text", "confidence"]), "chunk_id", "left")
+
+
+def _shortened(text: str | None, most: int) -> str:
+    text = text or ""
+    return text if len(text) <= most else text[:most] + "…"
+
+
+#: How much of a chunk is shown.
+SHOWN_USER, SHOWN_ASSISTANT, SHOWN_OUTCOME, SHOWN_ENTITIES = 2000, 3000, 180, 30
+
+
+def render_detail(chunk) -> str:
+    """One chunk (a row of ``chunk_detail``) as text for a reader, without the paths of files."""
+    steps = []
+    for i, s in enumerate(chunk["trace_steps"] or [], 1):
+        outcome = _shortened(s["outcome"], SHOWN_OUTCOME).replace("\n", " ")
+        steps.append(f"  {i}. [{s['step_type']}/{s['status']}] {s['target']}" + (f" → {outcome}" if outcome else ""))
+    parts = {
+        "user": [_shortened(chunk["user_text"], SHOWN_USER)],
+        "assistant": [_shortened(chunk["assistant_text"], SHOWN_ASSISTANT)],
+        "steps": steps,
+        "entities": [f"  {e['entity_type']}: {e['value']}" for e in (chunk["entities"] or [])[:SHOWN_ENTITIES]],
+        "constraints": [f"  ({c['trigger_word']}) {c['text']}" for c in chunk["constraints"] or []],
+    }
+    head = f"chunk {chunk['chunk_id']}, {chunk['status']}, {chunk['tool_call_count']} calls, {chunk['paired_result_count']} with results"
+    said = [f"{name}:\n" + ("\n".join(lines) or "  none") for name, lines in parts.items()]
+    return "\n\n".join([head, *said, "Hold this against the present code: history tells what was, not what is."])
 
 
 def render(rows: list) -> str:

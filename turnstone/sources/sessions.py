@@ -79,6 +79,9 @@ def _text(value: str) -> Column:
     parts = F.try_variant_get(F.col(value), "$.message.content", "array<variant>")
     kinds = lambda p: F.try_variant_get(p, "$.type", "string").isin("text", "toolResult", "image") & (F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING")
     joined = F.array_join(F.transform(F.filter(parts, kinds), lambda p: F.try_variant_get(p, "$.text", "string")), "\n")
+    # A user's message without visible text is what its text parts say, whatever their kind of value.
+    told = F.array_join(F.transform(F.filter(parts, lambda p: F.try_variant_get(p, "$.type", "string") == "text"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "\n")
+    joined = F.when((joined == "") & (F.try_variant_get(F.col(value), "$.message.role", "string") == "user"), told).otherwise(joined)
     content = F.try_variant_get(F.col(value), "$.message.content", "variant")
     return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(F.col(value), "$.message.content", "string")).otherwise(F.coalesce(joined, F.lit("")))
 
@@ -110,7 +113,12 @@ def lines(files: DataFrame) -> DataFrame:
 
 def read_sessions(spark: SparkSession, folder: str, project: Project, active_id: str | None = None, by_content: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sessions, entries) of the files of a folder that belong to the project."""
-    rows = lines(_files(spark, folder, by_content))
+    return sessions_of(_files(spark, folder, by_content), project, active_id)
+
+
+def sessions_of(files: DataFrame, project: Project, active_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same of files given as rows: source_path, mtime_ns, size_bytes, fingerprint, content."""
+    rows = lines(files)
     is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
     kind, key = F.try_variant_get("v", "$.type", "string"), F.try_variant_get("v", "$.id", "string")
     key = F.when(F.schema_of_variant(F.try_variant_get("v", "$.id", "variant")) == "STRING", key)
@@ -121,9 +129,6 @@ def read_sessions(spark: SparkSession, folder: str, project: Project, active_id:
     custom = valid & F.col("kind").isin("custom", "custom_message") & F.try_variant_get("v", "$.customType", "string").isNotNull() & F.try_variant_get("v", "$.data.source", "string").isNotNull()
     cwd = F.try_variant_get("v", "$.cwd", "string")
     gate = rows.groupBy("source_path").agg(
-        F.first("mtime_ns").alias("mtime_ns"),
-        F.first("size_bytes").alias("size_bytes"),
-        F.first("fingerprint").alias("fingerprint"),
         F.bool_or("incomplete_trailing").alias("partial"),
         F.min_by("key", F.when(header, F.col("line_no"))).alias("session_id"),
         F.min_by(cwd, F.when(header, F.col("line_no"))).alias("header_cwd"),
@@ -136,8 +141,11 @@ def read_sessions(spark: SparkSession, folder: str, project: Project, active_id:
         F.count_if(valid).alias("entries"),
         F.min_by(F.concat_ws(":", F.try_variant_get("v", "$.customType", "string"), F.try_variant_get("v", "$.data.source", "string")), F.when(custom, F.col("line_no"))).alias("source_identity"),
     )
+    # Files without a line, and those too large to be read, are sessions that are left out, not unknown ones.
+    gate = files.drop("content").join(gate, "source_path", "left").na.fill(False, ["partial", "unparsed"]).na.fill(0, ["malformed", "entries"])
     reason = (
-        F.when(F.col("header_line").isNull(), "no header")
+        F.when(F.col("size_bytes") > MAX_FILE_BYTES, "too large")
+        .when(F.col("header_line").isNull(), "no header")
         .when(F.col("entry_line") < F.col("header_line"), "entries before the header")
         .when(~F.coalesce(F.col("own"), F.lit(False)), "another project")
         .when(F.coalesce(F.col("session_id") == "", F.lit(True)), "no session id")
