@@ -136,3 +136,8 @@ def test_contained_equals_a_plain_search(spark):
             hits = sorted({f"c{k % 120:03}" for k, v in enumerate(values) if p and p in v})[:most]
             want |= {(f"q{i % 3}", c) for c in hits}
         assert {tuple(r) for r in R.contained(rows, "v", asked, most).collect()} == want
+
+
+def test_gram_tokens_are_those_of_any_text(spark):
+    texts = ["货期 货期规", "がぎ カ゛ ヴァ", "ア・イ 豈", "", "ゝ々 ー"]
+    assert [one(spark, t, I.grams) for t in texts] == [stem.tokens(t, False) for t in texts]

@@ -225,7 +225,7 @@ def test_integrity(built):
 
 def test_files_that_are_left_out_are_known(spark, tmp_path, project, monkeypatch):
     write(tmp_path / "l", "a.jsonl", delivery("a"))
-    write(tmp_path / "l", "empty.jsonl", [])
+    write(tmp_path / "l", "blank.jsonl", [], tail="\n")
     write(tmp_path / "l", "big.jsonl", [header("big"), message("u", None, "user", "x" * 9000)])
     monkeypatch.setattr(S, "MAX_FILE_BYTES", 8000)
     index = Index(spark, str(tmp_path / "i"), project)

@@ -73,7 +73,8 @@ def mask_secrets(text: Column | str) -> Column:
             able = F.contains(lower, F.lit(hint[0]))
             for h in hint[1:]:
                 able = able | F.contains(lower, F.lit(h))
-        out = F.when(able, F.regexp_replace(out, F.lit(pattern), F.lit(label))).otherwise(out)
+        # Below a lambda what was replaced so far is made once, though it's named twice.
+        out = F.get(F.transform(F.array(out), lambda x: F.when(able, F.regexp_replace(x, F.lit(pattern), F.lit(label))).otherwise(x)), F.lit(0))  # noqa: B023
     return out
 
 

@@ -8,6 +8,9 @@ from queries, a small side that Spark may broadcast by its size. A score is the
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +28,36 @@ def stemmed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: stem.tokens(t, True))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def plain(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: stem.tokens(t, False))
+def words(text: Column) -> Column:
+    """Tokens of folded text, which is ASCII in lower case: runs of letters and digits."""
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+@lru_cache(maxsize=1)
+def _cjk_folds() -> tuple[str, str]:
+    """Characters of the CJK ranges that aren't tokens as they are, and what stands for them: their base, or a blank; marks go."""
+    base, blank, mark = {}, [], []
+    for first, last in P.CJK_RANGES:
+        for c in map(chr, range(first, last + 1)):
+            found = stem.tokens(c, False)
+            if not found:
+                (mark if unicodedata.category(c)[0] == "M" else blank).append(c)
+            elif found != [c]:
+                base[c] = found[0]
+    return "".join([*base, *blank, *mark]), "".join([*base.values(), *blank]).translate(dict.fromkeys(map(ord, blank), " "))
+
+
+def grams(text: Column) -> Column:
+    """Tokens of CJK grams with blanks between them."""
+    return F.filter(F.split(F.translate(text, *_cjk_folds()), " +"), lambda t: t != "")
 
 
 def postings(rows: DataFrame, source: str, columns: list[str], tokens_of, key: str = "chunk_id") -> DataFrame:
     """(source, token, chunk_id, f, len, at) of the columns of a table."""
-    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("col"), tokens_of(F.col(c)).alias("tokens")) for i, c in enumerate(columns)])
-    made = rows.select(F.col(key).alias("chunk_id"), parts.alias("parts"))
-    made = made.withColumn("len", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.lit(0), F.size(p["tokens"]))))
-    by_column = made.select("chunk_id", "len", F.explode("parts").alias("x"))
+    made = rows.select(F.col(key).alias("chunk_id"), *[tokens_of(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    total = sum((F.greatest(F.lit(0), F.size(f"_{i}")).cast("long") for i in range(len(columns))), F.lit(0).cast("long"))
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("col"), F.col(f"_{i}").alias("tokens")) for i in range(len(columns))])
+    by_column = made.select("chunk_id", total.alias("len"), F.explode(parts).alias("x"))
     by_place = by_column.select("chunk_id", "len", F.col("x.col").alias("col"), F.posexplode("x.tokens").alias("pos", "token"))
     place = F.shiftleft("col", 32) + F.col("pos")
     found = by_place.groupBy("token", "chunk_id", "len").agg(F.count(F.lit(1)).alias("f"), F.array_sort(F.collect_list(place)).alias("at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from turnstone.operators import extract as E
 from turnstone.operators import postings as I
 from turnstone.operators import tools as TL
 from turnstone.operators import tree as T
-from turnstone.plans.staging import lazy
+from turnstone.plans.staging import Staging
 from turnstone.sources.sessions import Project
 
 TABLES = ("chunks", "entities", "constraints", "trace_steps", "evidence", "postings")
@@ -38,11 +39,12 @@ def by_token(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("source", "token", "chunk_id").sortWithinPartitions("source", "token", "chunk_id")
 
 
-def build(entries: DataFrame, project: Project, active_sessions: DataFrame | None = None, own_markers: tuple[str, ...] = ("turnstone",), stage=lazy) -> dict[str, DataFrame]:
+def build(entries: DataFrame, project: Project, active_sessions: DataFrame | None = None, own_markers: tuple[str, ...] = ("turnstone",), stage: Callable[[DataFrame, str], DataFrame] = None) -> dict[str, DataFrame]:
     """All tables of an index over the entries, and ``limited``: the sessions beyond the limits on variants and chunks, of which nothing is built.
 
-    ``active_sessions`` (session_id): sessions whose last turn may be open. ``stage(frame, name)`` may write what several tables are made from.
+    ``active_sessions`` (session_id): sessions whose last turn may be open. ``stage(frame, name)`` writes what several tables are made from (by default below the shared folder).
     """
+    stage = stage or Staging(entries.sparkSession)
     root = F.lit(project.root)
     placed = stage(T.turns(T.ranked_paths(T.leaf_paths(entries)), entries), "placed")
     distinct = stage(T.first_variants(T.variants(placed)), "variants")
@@ -131,14 +133,15 @@ def build(entries: DataFrame, project: Project, active_sessions: DataFrame | Non
     steps = _ordered(excluded.unionByName(steps), "_phase", "_at", "step_order")
 
     found = found.select(F.when(F.col("evidence_scope") == "chunk", F.col("chunk_id")).alias("chunk_id"), "session_id", F.col("entry_id").alias("source_entry_id"), "evidence_type", "evidence_scope", "text", "confidence").distinct()
-    return {"chunks": chunks, "entities": entities, "constraints": constraints, "trace_steps": steps, "evidence": found, "postings": index_texts(chunks, entities), "limited": limited}
+    return {"chunks": chunks, "entities": entities, "constraints": constraints, "trace_steps": steps, "evidence": found, "postings": index_texts(chunks, entities, stage), "limited": limited}
 
 
-def index_texts(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+def index_texts(chunks: DataFrame, entities: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Postings of both full-text sources: folded words with stems, and CJK grams."""
     values = entities.groupBy("chunk_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), " ")).alias("names"))
     fields = ("user_text", "assistant_text", "evidence_text")
     texts = chunks.select("chunk_id", *[X.nfc(c).alias(c) for c in fields]).join(values, "chunk_id", "left")
+    texts = stage(texts, "texts")  # composed once for both sources
     latin = texts.select("chunk_id", X.latin_fold("user_text").alias("user"), X.latin_fold("assistant_text").alias("assistant"), F.concat_ws(" ", X.latin_fold("evidence_text"), F.coalesce("names", F.lit(""))).alias("evidence"))
-    grams = texts.select("chunk_id", F.array_join(X.cjk_grams(*fields), " ").alias("grams")).filter("grams <> ''")
-    return I.postings(latin, "latin", ["user", "assistant", "evidence"], I.stemmed).unionByName(I.postings(grams, "cjk", ["grams"], I.plain))
+    grams = texts.select("chunk_id", F.array_join(X.cjk_grams(*fields), " ").alias("grams"))  # a text without grams gives no postings
+    return I.postings(latin, "latin", ["user", "assistant", "evidence"], I.stemmed).unionByName(I.postings(grams, "cjk", ["grams"], I.grams))

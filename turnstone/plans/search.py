@@ -89,7 +89,7 @@ def full_text(index: dict[str, DataFrame], terms: DataFrame, most: int = P.FTS_L
     if "postings" not in index:
         return terms.sparkSession.createDataFrame([], "qid string, source string, chunk_id string, score double, rank int")
     latin = I.phrases(terms.filter("source = 'latin'"), I.stemmed)
-    wanted = latin.unionByName(I.phrases(terms.filter("source = 'cjk'"), I.plain))
+    wanted = latin.unionByName(I.phrases(terms.filter("source = 'cjk'"), I.grams))
     stored = index if "terms" in index else index | B.statistics(index)
     order = index["chunks"].select("chunk_id", F.concat_ws(" ", F.lpad(F.col("start_ts").cast("string"), 20, "0"), "chunk_id").alias("doc_seq"))
     return I.best(I.bm25(index["postings"], wanted, stored["corpus"], stored["terms"]), order, most)

@@ -39,8 +39,3 @@ class Staging:
         if jvm is not None and self.spark.sparkContext._jsc is not None:
             at = jvm.org.apache.hadoop.fs.Path(self.path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def lazy(df: DataFrame, name: str) -> DataFrame:
-    """No staging: one plan from end to end."""
-    return df

@@ -480,7 +480,7 @@ def evidence_scope(spark, sf_dir):
 
 def _postings(spark, sf_dir):
     rows = _folded(spark, sf_dir).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), "folded")
-    return rows, I.postings(rows, "latin", ["folded"], I.plain)
+    return rows, I.postings(rows, "latin", ["folded"], I.words)
 
 
 _TOKENS = f"tokens AS (SELECT conv_id || ':' || turn AS chunk_id, conv_id, turn, regexp_extract_all({_FOLD}, '[a-z0-9]+') AS t FROM conversations), post AS (SELECT chunk_id, conv_id, turn, unnest(t) AS token, unnest(range(len(t))) AS pos FROM tokens)"
@@ -513,7 +513,7 @@ def bm25_top50(spark, sf_dir):
     terms = items.select("qid", F.lit("latin").alias("source"), F.posexplode(F.regexp_extract_all("t", F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("phrase_no", "term"))
     rows, post = _postings(spark, sf_dir)
     post = Staging(spark)(post, "postings")
-    scores = I.bm25(post, I.phrases(terms, I.plain), I.corpus(rows.select(F.lit("latin").alias("source"), "chunk_id"), post))
+    scores = I.bm25(post, I.phrases(terms, I.words), I.corpus(rows.select(F.lit("latin").alias("source"), "chunk_id"), post))
     top = I.best(scores.withColumn("score", F.round("score", 9)), rows.select("chunk_id", F.col("chunk_id").alias("doc_seq")))
     return top.select("qid", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
@@ -523,14 +523,14 @@ f AS (SELECT chunk_id, count(*) AS f FROM post WHERE token = 'thou' GROUP BY chu
 SELECT chunk_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)), 6) AS score FROM f JOIN lens USING (chunk_id), d, s""")
 def bm25_single(spark, sf_dir):
     rows, post = _postings(spark, sf_dir)
-    wanted = I.phrases(spark.createDataFrame([("q", "latin", 0, "thou")], "qid string, source string, phrase_no int, term string"), I.plain)
+    wanted = I.phrases(spark.createDataFrame([("q", "latin", 0, "thou")], "qid string, source string, phrase_no int, term string"), I.words)
     found = I.bm25(post, wanted, I.corpus(rows.select(F.lit("latin").alias("source"), "chunk_id"), post))
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_TOKENS} SELECT a.chunk_id, count(*) AS f FROM post a JOIN post b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.chunk_id")
 def phrase_match(spark, sf_dir):
-    wanted = I.phrases(spark.createDataFrame([("q", "latin", 0, "of/the")], "qid string, source string, phrase_no int, term string"), I.plain)
+    wanted = I.phrases(spark.createDataFrame([("q", "latin", 0, "of/the")], "qid string, source string, phrase_no int, term string"), I.words)
     return I.phrase_hits(_postings(spark, sf_dir)[1], wanted).select("chunk_id", "f")
 
 
