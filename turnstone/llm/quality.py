@@ -206,6 +206,10 @@ def _matrices(rows: pd.DataFrame, prefix: str = "v") -> np.ndarray:
     return out
 
 
+#: Cells whose estimates are broadcast.
+MOST_BROADCAST = 50_000
+
+
 def robust_outliers(stats: DataFrame, key: str = "doc_id", by: tuple[str, ...] = ("lang", "source"), share: float = 0.75, starts: int = 60, start_rows: int = 600, finalists: int = 2, most_steps: int = 20, prior_rows: int = 50) -> DataFrame:
     """``stats`` (rows with words) with ``distance2``: squared robust Mahalanobis distance in the group."""
     features = stats
@@ -217,6 +221,9 @@ def robust_outliers(stats: DataFrame, key: str = "doc_id", by: tuple[str, ...] =
     # A cell is a group, a language or all rows; each row takes part in one of each kind.
     cells = lambda *more: features.select(F.explode(F.array("_group", "_language", F.lit("all"))).alias("_cell"), *more, *NAMES)
     sizes = written(cells().groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    # A row for each cell, of at most some hundred bytes: broadcast while that is 20 MB or less, so that no cell's rows are dealt to one task.
+    few = sizes.count() <= MOST_BROADCAST
+    side = lambda rows: F.broadcast(rows) if few else rows
 
     def begin(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(NAMES)[NAMES].to_numpy(np.float64)
@@ -246,10 +253,10 @@ def robust_outliers(stats: DataFrame, key: str = "doc_id", by: tuple[str, ...] =
 
     # Cells of at most ``start_rows`` rows are taken whole here, larger ones by a hash of key and counts.
     chance = F.pmod(F.xxhash64(key, *COUNTS), F.lit(1 << 30)) / float(1 << 30)
-    sample = cells(chance.alias("_chance")).join(sizes, "_cell").filter(F.col("_chance") * F.col("_n") < start_rows).select("_cell", *NAMES)
+    sample = cells(chance.alias("_chance")).join(side(sizes), "_cell").filter(F.col("_chance") * F.col("_n") < start_rows).select("_cell", *NAMES)
     params = written(sample.groupBy("_cell").applyInPandas(begin, estimate_type).mapInPandas(inverted, inverse_type), "estimates")
     for _ in range(most_steps):
-        binned = cells().join(params, "_cell").withColumn("bin", F.floor(F.log2(F.greatest(distance, F.lit(1e-12))) * 64).cast("int"))
+        binned = cells().join(side(params), "_cell").withColumn("bin", F.floor(F.log2(F.greatest(distance, F.lit(1e-12))) * 64).cast("int"))
         found = binned.groupBy("_cell", "nth", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), *sums)
         params = written(found.groupBy("_cell", "nth").applyInPandas(step, estimate_type).mapInPandas(inverted, inverse_type), "estimates")
         if not params.filter("was = 0 or abs(was - size) > 1e-3").limit(1).count():
@@ -257,7 +264,7 @@ def robust_outliers(stats: DataFrame, key: str = "doc_id", by: tuple[str, ...] =
     best = params.groupBy("_cell").agg(F.min_by(F.struct(*[c for c in params.columns if c != "_cell"]), "size").alias("p")).select("_cell", "p.*")
 
     # Reweighted: all rows within the 0.975 quantile. Then groups are drawn to their language, and languages to all.
-    near = written(cells().join(best, "_cell").filter(distance <= chi_square_quantile(0.975)).groupBy("_cell").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums), "reweighted")
+    near = written(cells().join(side(best), "_cell").filter(distance <= chi_square_quantile(0.975)).groupBy("_cell").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums), "reweighted")
     of = lambda cell, prefix: near.select(F.col("_cell").alias(cell), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SUMS)])
     levels = features.select("_group", "_language", F.lit("all").alias("_all")).distinct().join(of("_group", ""), "_group").join(of("_language", "l_"), "_language").join(of("_all", "t_"), "_all")
 
@@ -277,7 +284,7 @@ def robust_outliers(stats: DataFrame, key: str = "doc_id", by: tuple[str, ...] =
             yield pd.DataFrame({"_group": rows["_group"], **{f"c{i}": mean[:, i] for i in range(P)}, **{f"a{i}_{j}": inverse[:, i, j] for i, j in PAIRS}})
 
     final = written(levels.mapInPandas(shrunk, ", ".join(["_group string", *[f"c{i} double" for i in range(P)], *[f"{c} double" for c in _INVERSE]])), "estimates")
-    return features.join(final, "_group", "left").withColumn("distance2", distance).drop("_group", "_language", *NAMES, *[f"c{i}" for i in range(P)], *_INVERSE)
+    return features.join(side(final), "_group", "left").withColumn("distance2", distance).drop("_group", "_language", *NAMES, *[f"c{i}" for i in range(P)], *_INVERSE)
 
 
 def quality(docs: DataFrame, quantile: float = 0.9999, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
