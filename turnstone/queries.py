@@ -419,7 +419,7 @@ _FILE = "CASE WHEN event_id % 11 = 0 THEN 'conf/.env' ELSE '/w/p/src/f' || event
 _RUN = "CASE event_id % 3 WHEN 0 THEN 'pytest -q' WHEN 1 THEN 'ls src' ELSE 'make all' END"
 _CALLS = f"""ev AS (SELECT CAST(user_id AS VARCHAR) AS chunk_id, CAST(event_id AS INTEGER) AS ord, 'e' || event_id AS entry_id, 't' || event_id % 5 AS tool_call_id, event_type, event_id, value FROM events),
 calls AS (SELECT *, {_TOOL} AS tool_name, {_FILE} AS file, {_RUN} AS run FROM ev WHERE event_type IN ('click', 'view', 'purchase')),
-results AS (SELECT *, CAST(value AS INTEGER) || '!' AS text, event_type = 'error' AS is_error FROM ev WHERE event_type IN ('signup', 'error')),
+results AS (SELECT *, CAST(floor(value) AS INTEGER) || '!' AS text, event_type = 'error' AS is_error FROM ev WHERE event_type IN ('signup', 'error')),
 met AS (SELECT r.chunk_id, c.ord AS c_ord, r.ord, r.entry_id, r.text, r.is_error FROM results r JOIN calls c ON c.chunk_id = r.chunk_id AND c.tool_call_id = r.tool_call_id AND c.ord < r.ord QUALIFY row_number() OVER (PARTITION BY r.chunk_id, r.ord ORDER BY c.ord DESC) = 1),
 last AS (SELECT chunk_id, c_ord, arg_max(entry_id, ord) AS result_entry_id, arg_max(text, ord) AS result_text, arg_max(is_error, ord) AS is_error, count(*) AS results FROM met GROUP BY ALL),
 paired AS (SELECT c.chunk_id, c.ord, c.entry_id, c.tool_call_id, c.tool_name, c.file, c.run, c.event_id, l.result_entry_id, coalesce(l.result_text, '') AS result_text, coalesce(l.is_error, false) AS is_error, coalesce(l.results, 0) AS results FROM calls c LEFT JOIN last l ON l.chunk_id = c.chunk_id AND l.c_ord = c.ord)"""
@@ -431,7 +431,7 @@ def _paired(spark, sf_dir):
     made = rows.withColumns({"tool_name": F.expr(_TOOL), "file": F.expr(_FILE), "run": F.expr(_RUN)})
     given = F.when(F.col("tool_name") == "bash", F.create_map(F.lit("command"), "run")).when(F.col("tool_name") == "grep", F.create_map(F.lit("pattern"), F.lit("Foo"), F.lit("PATH"), "file")).when(F.col("tool_name") == "fetch", F.create_map(F.lit("url"), F.lit("x"))).otherwise(F.create_map(F.lit("filePath"), "file"))
     calls = made.filter("event_type in ('click', 'view', 'purchase')").select("chunk_id", "ord", F.lit(0).alias("sub"), "entry_id", "tool_call_id", "tool_name", given.alias("arguments"))
-    results = rows.filter("event_type in ('signup', 'error')").select("chunk_id", "ord", "entry_id", "tool_call_id", F.concat(F.round("value").cast("int").cast("string"), F.lit("!")).alias("text"), (F.col("event_type") == "error").alias("is_error"))
+    results = rows.filter("event_type in ('signup', 'error')").select("chunk_id", "ord", "entry_id", "tool_call_id", F.concat(F.floor("value").cast("int").cast("string"), F.lit("!")).alias("text"), (F.col("event_type") == "error").alias("is_error"))
     return TL.pair_results(calls, results)
 
 
