@@ -190,6 +190,15 @@ def test_near_duplicates(docs, empty, rows):
     assert near_duplicates.near_duplicates(empty).collect() == []
 
 
+def test_texts_of_one_key_are_kept_apart(spark):
+    rng = random.Random(19)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(5, None, {"m": 1}), (5, a, {"m": 2}), (5, a, {"m": 3}), (5, b, None), (9, b, None), (9, c, None), (10, c + " end", None), (None, a, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
+    got = [(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(frame).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(5, None), (5, a), (5, b), (9, c), (None, a)]))
+
+
 def test_large_clusters_are_compared_in_blocks(spark):
     rng = random.Random(9)
     base = sentence(rng, 60).split(" ")
@@ -374,6 +383,8 @@ def test_toxicity(spark, tmp_path, docs, empty):
     assert kept == {i for i, s in got.items() if s < 0.5}
     assert toxicity.learn(frame, marks.limit(0)).score(0.0) == 0.0
     assert toxicity.score(empty, lexicon).collect() == []
+    assert toxicity.score(docs, lexicon).count() == docs.count()  # with further columns of clashing names
+    assert toxicity.keep_clean(docs, lexicon).columns == docs.columns
 
 
 def test_exception_phrases():

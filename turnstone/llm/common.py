@@ -33,12 +33,14 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
     jsc = spark.sparkContext._jsc.sc()
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and jsc.getCheckpointDir().isDefined():
         at = jsc.getCheckpointDir().get()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="turnstone-")
         spark.sparkContext.setCheckpointDir(at)
         at = jsc.getCheckpointDir().get()

@@ -9,7 +9,8 @@ place from its rank among the pieces of its length.
 
 Null text is empty; an empty document is its end token alone. Only documents longer than the capacity are
 cut, into full pieces behind a first one that holds the rest. Repeated rows are packed each; the
-order among pieces of one length is that of the input's partitions. An empty table gives an empty result.
+order among pieces of one length is that of the input's partitions. Very long texts are encoded whole, in one step of their own. An empty table
+gives an empty result; further columns of the input are left out.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ records; shard s is the s-th part of it, and parts differ by one row at most.
 
 The input must be a table that gives the same rows each time it's read, as files do; the counts of what
 was written are held against those of the first pass. Null keys and texts are kept as they are, repeated rows
-stay repeated, an empty table gives no rows; other columns of the input are left out.
+stay repeated, an empty table gives no rows; other columns of the input are left out. Rows of one key are told apart by their place. A very long text
+is a row like any other: it makes its bucket larger, not its shard shorter.
 """
 
 from __future__ import annotations
