@@ -10,8 +10,8 @@ Sending every suffix of a corpus through a shuffle would multiply the corpus by
    contexts are one record with the least document and the number of places. The suffixes that begin at one distance in front
    of one gram are a group; the operator's own method (``Search.find``) says which of them repeat, and how far.
 3. Grams that more than ``hot`` places hold would make one bucket large. Each of their windows goes to a bucket of its own, by two
-   64-bit hashes of the whole window; what repeats within a block is told there, and one entry a block is sent. The list of
-   such grams is short by counting: ``hot`` grows with the input, so it has about 2^18 entries at most.
+   64-bit hashes of the whole window; what repeats within a block is told there, and one entry a block is sent. ``hot`` is what makes 32 MB of
+   contexts, and grows with the input beyond some TB, so that by counting the list of such grams has about 2^22 entries (32 MB) at most.
 4. Spans of windows that occur elsewhere return to their documents.
 
 Equal texts are found first, by digest (SHA-256); one of them takes part in 2 for all. Words, and contexts that are made one, are told
@@ -535,6 +535,12 @@ def _words(raw: np.ndarray) -> list[bytes]:
     return [w for w in raw.tobytes().translate(_TO_BLANK).split(b" ") if w]
 
 
+def usual_hot(search: Search, file_bytes: int) -> int:
+    """Places from which a gram counts as hot, for texts of about three times the files' size."""
+    anchors = 3 * file_bytes // ((6 if search.words else 1) * (search.side + 2) // 2)
+    return max((32 << 20) // (search.width * (8 if search.words else 1)), anchors >> 22)
+
+
 def repeated_spans(docs: DataFrame, search: Search, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bucket_bytes: int = 2 << 20, hot: int | None = None) -> DataFrame:
     """key, text, rest (a struct of the carried columns), n_tokens, n_removed, spans (of tokens, merged), kept (bytes outside the spans) of every document.
 
@@ -542,7 +548,7 @@ def repeated_spans(docs: DataFrame, search: Search, key: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     groups = buckets = buckets_for(docs, bucket_bytes, least=256)
-    hot = max(1 << 14, size_of(docs) >> 20) if hot is None else hot
+    hot = usual_hot(search, size_of(docs)) if hot is None else hot
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), rest.alias("rest"))
     # Rows without a key come behind all others.
@@ -553,7 +559,7 @@ def repeated_spans(docs: DataFrame, search: Search, key: str = "doc_id", text: s
     common = rows.select("uid", "text").mapInArrow(send_anchors(search, buckets, groups), _ROWS)
     common = written(common.groupBy("at").applyInArrow(find_common(search, groups, hot), _ROWS), "common")
     release(spark)
-    many = [_arrays(bytes(r["payload"]), np.uint64)[0] for r in common.filter(F.col("kind") == _HOT).select("payload").collect()]  # about 2^18 numbers at most, see above
+    many = [_arrays(bytes(r["payload"]), np.uint64)[0] for r in common.filter(F.col("kind") == _HOT).select("payload").collect()]  # about 2^22 numbers at most, see above
     many = np.unique(np.concatenate(many)) if many else np.zeros(0, np.uint64)
 
     same = rows.filter("text is not null").select("uid", "rank", F.sha2("text", 256).alias("digest"))
