@@ -28,19 +28,14 @@ GRAM = 3
 def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int) -> DataFrame:
     """(qid, chunk_id): for each pattern (qid, pattern) up to ``most`` chunks with a value that holds it, the least ids first.
 
-    A pattern meets the values that hold its first gram (of three characters, or as many as it has), by a join on that gram,
+    A pattern meets the values that hold its first gram (three characters, or as many as it has), by a join on that gram,
     and is then looked for. Values are taken once each, however many rows have them. An empty pattern asks for nothing.
     """
-    distinct = rows.select(F.col(value).alias("_v")).filter("_v is not null").distinct()
-    asked = patterns.select("pattern").filter("pattern is not null").distinct()
-    found = None
-    for n in range(1, GRAM + 1):
-        size = F.char_length("pattern")
-        of = asked.filter(size == n if n < GRAM else size >= n).withColumn("_g", F.substring("pattern", 1, n))
-        last = F.char_length("_v") - n + 1
-        grams = distinct.filter(last >= 1).withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("_v"), i, F.lit(n))))))  # noqa: B023
-        met = grams.join(of, "_g").filter(F.contains("_v", "pattern")).select("pattern", "_v")
-        found = met if found is None else found.unionByName(met)
+    distinct = rows.select(F.col(value).alias("_v")).filter("_v <> ''").distinct()
+    asked = patterns.select("pattern").filter("pattern <> ''").distinct().withColumn("_g", F.substring("pattern", 1, GRAM))
+    places = F.sequence(F.lit(1), F.char_length("_v"))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("_v"), i, n)))))
+    found = distinct.withColumn("_g", F.explode(grams)).join(asked, "_g").filter(F.contains("_v", "pattern")).select("pattern", "_v")
     pairs = found.join(rows.select("chunk_id", F.col(value).alias("_v")), "_v").select("pattern", "chunk_id").distinct()
     return _limited(pairs.join(patterns, "pattern"), most)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +24,30 @@ def leaf_paths(entries: DataFrame) -> DataFrame:
     Of entries of one id the last one counts. Sessions are bounded files, and one is walked in one task.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        parent = dict(zip(rows.entry_id, rows.parent_id, strict=True))
-        named = set(rows.parent_id.dropna())
-        out = []
-        for e in rows.itertuples():
-            if e.entry_id in named:
-                continue
-            path, seen, at = [], set(), e.entry_id
-            while at in parent and at not in seen:
-                seen.add(at)
-                path.append(at)
-                at = parent[at]
-            out.append((e.session_id, e.entry_id, path[::-1], len(path), e.ts_ms, e.ordinal))
-        return pd.DataFrame(out, columns=["session_id", "leaf_id", "path", "path_len", "leaf_ts", "leaf_ord"])
-
-    rows = entries.select("session_id", "entry_id", "parent_id", "ordinal", "ts_ms")
-    return rows.groupBy("session_id").applyInPandas(walk, "session_id string, leaf_id string, path array<string>, path_len int, leaf_ts long, leaf_ord int")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, out = batch.column(1), {c: [] for c in ("session_id", "leaf_id", "path", "path_len", "leaf_ts", "leaf_ord")}
+            begins, flat = lists.offsets.to_pylist(), lists.values
+            keys, parents, times, places = (flat.field(c).to_pylist() for c in ("entry_id", "parent_id", "ts_ms", "ordinal"))
+            for session, a, b in zip(batch.column(0).to_pylist(), begins[:-1], begins[1:], strict=True):
+                parent = dict(zip(keys[a:b], parents[a:b], strict=True))
+                named = set(parents[a:b])
+                for i in range(a, b):
+                    if keys[i] in named:
+                        continue
+                    path, seen, at = [], set(), keys[i]
+                    while at in parent and at not in seen:
+                        seen.add(at)
+                        path.append(at)
+                        at = parent[at]
+                    for c, v in zip(out, (session, keys[i], path[::-1], len(path), times[i], places[i]), strict=True):
+                        out[c].append(v)
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
+
+    entry = F.struct(F.col("ordinal").cast("int").alias("ordinal"), "entry_id", "parent_id", F.col("ts_ms").cast("long").alias("ts_ms"))
+    rows = entries.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return rows.mapInArrow(walk, "session_id string, leaf_id string, path array<string>, path_len int, leaf_ts long, leaf_ord int")
 
 
 def ranked_paths(paths: DataFrame, active_leaf: str | None = None) -> DataFrame:

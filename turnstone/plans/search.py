@@ -17,6 +17,7 @@ from turnstone.functions import text as X
 from turnstone.operators import postings as I
 from turnstone.operators import ranking as R
 from turnstone.plans import build as B
+from turnstone.plans.staging import Staging
 
 #: How many results, and the least scores.
 DEFAULT_RESULTS, MOST_RESULTS, MIN_RELEVANCE, MIN_CONFIDENCE = 5, 20, 40, 30
@@ -96,27 +97,35 @@ def full_text(index: dict[str, DataFrame], terms: DataFrame, most: int = P.FTS_L
 
 
 def search(index: dict[str, DataFrame], queries: dict[str, str], options: Options, project_id: str) -> DataFrame:
-    """Ranked chunks of the project for each query, with what a reader wants to see of them."""
+    """Ranked chunks of the project for each query, with what a reader wants to see of them.
+
+    Full-text hits, candidates and results are each a few dozen rows a query; they are written as they're found, so that features and
+    details are made of the chunks in question only, not of all.
+    """
     spark = index["chunks"].sparkSession
     index = index | {"chunks": index["chunks"].filter(F.col("project_id") == project_id)}
     parts, terms = query_tables(spark, queries)
-    fts = full_text(index, terms)
+    work, kept = Staging(spark), Staging(spark)
+    fts = work(full_text(index, terms), "hits")
+    found = work(R.candidates(fts, parts, index["entities"], index["constraints"], index["trace_steps"]), "candidates")
     ranks = fts.groupBy("qid", "chunk_id").agg(*[F.max(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank") for s in ("latin", "cjk")])
-    found = R.candidates(fts, parts, index["entities"], index["constraints"], index["trace_steps"])
-    chunks = index["chunks"]
+    in_question = found.select("chunk_id").distinct()
+    of = lambda name: index[name].join(in_question, "chunk_id", "left_semi")
+    chunks = of("chunks")
     if options.exclude_open:
         chunks = chunks.filter("status <> 'open'")
     if options.exclude_session:
         chunks = chunks.filter(F.col("session_id") != options.exclude_session)
     pairs = found.join(parts, "qid")
-    constraints = index["constraints"].groupBy("chunk_id").agg(F.least(F.lit(12), F.count(F.lit(1))).alias("constraint_count"))
+    steps = of("trace_steps")
+    constraints = of("constraints").groupBy("chunk_id").agg(F.least(F.lit(12), F.count(F.lit(1))).alias("constraint_count"))
     rows = (
         found.join(chunks, "chunk_id")
         .join(ranks, ["qid", "chunk_id"], "left")
         .join(R.entity_hits(pairs, index["entities"]), ["qid", "chunk_id"], "left")
-        .join(R.trace_hits(pairs, index["trace_steps"]), ["qid", "chunk_id"], "left")
+        .join(R.trace_hits(pairs, steps), ["qid", "chunk_id"], "left")
         .join(constraints, "chunk_id", "left")
-        .join(R.step_features(index["trace_steps"]), "chunk_id", "left")
+        .join(R.step_features(steps), "chunk_id", "left")
         .na.fill(0, ["latin_rank", "cjk_rank", "entity_hits", "trace_hits", "constraint_count", "error_count"])
         .na.fill(False, ["has_verification", "has_terminal_write", "success_after_error"])
     )
@@ -137,12 +146,15 @@ def search(index: dict[str, DataFrame], queries: dict[str, str], options: Option
         "error_count",
         "has_verification",
     )
-    scored = R.good_enough(scored, options.min_relevance, options.min_confidence).join(R.siblings(index["chunks"]), "chunk_id", "left")
-    if options.group_siblings:
-        top = R.collapse(scored, options.most)
-    else:
-        top = R.first(scored, options.most, "qid", *R.result_order())
-    return with_details(top, index).orderBy("qid", "place")
+    scored = work(R.good_enough(scored, options.min_relevance, options.min_confidence), "scored")
+    anchors = index["chunks"].join(scored.select("session_id", "user_entry_id").distinct(), ["session_id", "user_entry_id"], "left_semi")
+    scored = scored.join(R.siblings(anchors), "chunk_id", "left")
+    top = R.collapse(scored, options.most) if options.group_siblings else R.first(scored, options.most, "qid", *R.result_order())
+    top = kept(top, "results")
+    work.drop()
+    shown = top.select("chunk_id").distinct()
+    parts_of = {name: index[name].join(shown, "chunk_id", "left_semi") for name in ("entities", "constraints", "trace_steps")}
+    return with_details(top, parts_of).orderBy("qid", "place")
 
 
 def first_values(rows: DataFrame, value, name: str, most: int = 12) -> DataFrame:

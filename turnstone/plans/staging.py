@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         if given.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnstone-"))
             given = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = given.get()
