@@ -135,7 +135,8 @@ def test_contained_equals_a_plain_search(spark):
         for i, p in enumerate(patterns):
             hits = sorted({f"c{k % 120:03}" for k, v in enumerate(values) if p and p in v})[:most]
             want |= {(f"q{i % 3}", c) for c in hits}
-        assert {tuple(r) for r in R.contained(rows, "v", asked, most).collect()} == want
+        for tried in (None, patterns):
+            assert {tuple(r) for r in R.contained(rows, "v", asked, most, tried).collect()} == want
 
 
 def test_gram_tokens_are_those_of_any_text(spark):

@@ -47,3 +47,14 @@ def without(parents: DataFrame, children: DataFrame, key: str = "chunk_id") -> D
 def of_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Rows whose parent is among ``parents``."""
     return children.join(parents.select(key).distinct(), key, "left_semi")
+
+
+def last_id(rows: DataFrame, name: str) -> DataFrame:
+    """One row: the greatest id that is taken, 0 before the first."""
+    return rows.agg(F.coalesce(F.max(name), F.lit(0)).cast("long").alias("last"))
+
+
+def numbered(new: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``new`` with ids beyond all that are known, ascending by place; ids grow from build to build and may leave gaps."""
+    last = last_id(known, name).first()["last"]
+    return new.withColumn(name, F.lit(last) + 1 + F.monotonically_increasing_id())

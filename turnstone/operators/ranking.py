@@ -25,14 +25,21 @@ def _limited(found: DataFrame, most: int) -> DataFrame:
 GRAM = 3
 
 
-def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int) -> DataFrame:
+#: Patterns that are looked for in each value before its grams are made.
+MOST_TRIED = 1000
+
+
+def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int, tried: list[str] | None = None) -> DataFrame:
     """(qid, chunk_id): for each pattern (qid, pattern) up to ``most`` chunks with a value that holds it, the least ids first.
 
     A pattern meets the values that hold its first gram (three characters, or as many as it has), by a join on that gram,
     and is then looked for. Values are taken once each, however many rows have them. An empty pattern asks for nothing.
+    ``tried``: all patterns, where the caller knows them; values that hold none of them need no grams while they are few.
     """
     distinct = rows.select(F.col(value).alias("_v")).filter("_v <> ''").distinct()
     asked = patterns.select("pattern").filter("pattern <> ''").distinct().withColumn("_g", F.substring("pattern", 1, GRAM))
+    if tried is not None and len(set(tried)) <= MOST_TRIED:
+        distinct = distinct.filter(F.exists(F.lit(sorted(set(tried)) or [""]), lambda p: (p != "") & F.contains(F.col("_v"), p)))
     places = F.sequence(F.lit(1), F.char_length("_v"))
     grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("_v"), i, n)))))
     found = distinct.withColumn("_g", F.explode(grams)).join(asked, "_g").filter(F.contains("_v", "pattern")).select("pattern", "_v")
@@ -40,14 +47,18 @@ def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int) -> Da
     return _limited(pairs.join(patterns, "pattern"), most)
 
 
-def candidates(fts: DataFrame, queries: DataFrame, entities: DataFrame, constraints: DataFrame, steps: DataFrame) -> DataFrame:
-    """(qid, chunk_id) of full-text hits, and of chunks whose entities, constraints or steps hold a part of the query."""
+def candidates(fts: DataFrame, queries: DataFrame, entities: DataFrame, constraints: DataFrame, steps: DataFrame, tried: dict[str, list[str]] | None = None) -> DataFrame:
+    """(qid, chunk_id) of full-text hits, and of chunks whose entities, constraints or steps hold a part of the query.
+
+    ``tried``: all paths, symbols and terms of the queries by name, where the caller knows them.
+    """
+    known = lambda *names: [w for n in names for w in tried[n]] if tried is not None else None
     of = lambda values: queries.select("qid", F.explode(values).alias("pattern"))
     long = F.filter("terms", lambda t: F.char_length(t) >= 3)
     found = fts.select("qid", "chunk_id")
-    found = found.unionByName(contained(entities, "normalized_value", of(F.concat("paths", "symbols")), P.ENTITY_LIMIT))
-    found = found.unionByName(contained(constraints, "normalized_text", of(long), P.CONSTRAINT_LIMIT))
-    return found.unionByName(contained(steps, "normalized_target", of(F.col("paths")), P.TRACE_LIMIT)).distinct()
+    found = found.unionByName(contained(entities, "normalized_value", of(F.concat("paths", "symbols")), P.ENTITY_LIMIT, known("paths", "symbols")))
+    found = found.unionByName(contained(constraints, "normalized_text", of(long), P.CONSTRAINT_LIMIT, known("terms")))
+    return found.unionByName(contained(steps, "normalized_target", of(F.col("paths")), P.TRACE_LIMIT, known("paths"))).distinct()
 
 
 def step_features(steps: DataFrame) -> DataFrame:

@@ -107,7 +107,9 @@ def search(index: dict[str, DataFrame], queries: dict[str, str], options: Option
     parts, terms = query_tables(spark, queries)
     work, kept = Staging(spark), Staging(spark)
     fts = work(full_text(index, terms), "hits")
-    found = work(R.candidates(fts, parts, index["entities"], index["constraints"], index["trace_steps"]), "candidates")
+    tried = {n: [w for t in queries.values() for w in query_entities(t)[n]] for n in ("paths", "symbols", "terms")}
+    tried["terms"] = [t for t in tried["terms"] if len(t) >= 3]
+    found = work(R.candidates(fts, parts, index["entities"], index["constraints"], index["trace_steps"], tried), "candidates")
     ranks = fts.groupBy("qid", "chunk_id").agg(*[F.max(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank") for s in ("latin", "cjk")])
     in_question = found.select("chunk_id").distinct()
     of = lambda name: index[name].join(in_question, "chunk_id", "left_semi")

@@ -165,6 +165,19 @@ def meta_upsert(spark, sf_dir):
     return M.upsert(old, put("n_chars", 1, "n_chars % 3 = 0").unionByName(put("n_chars + 1", 2, "n_chars % 6 = 0"))).select("key", "value")
 
 
+@query("SELECT coalesce(max(doc_id), 0) AS last FROM labels")
+def last_row_id(spark, sf_dir):
+    return M.last_id(table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT count(*) AS rows, count(*) AS ids, true AS all_new FROM documents")
+def next_row_ids(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
+    made = M.numbered(table(spark, sf_dir, "documents").select("doc_id"), known, "row_id")
+    last = known.agg(F.max("row_id")).first()[0]
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_id").alias("ids"), F.min(F.col("row_id") > last).alias("all_new"))
+
+
 @query("SELECT count(*) AS entries, count(DISTINCT conv_id) AS sessions, max(turn) AS last_turn FROM conversations")
 def table_counts(spark, sf_dir):
     return M.counts(table(spark, sf_dir, "conversations"), "conv_id", "turn")
