@@ -274,7 +274,7 @@ def test_substring_dedup(docs, empty, rows):
 def test_hot_grams_take_another_way(docs, rows):
     for of in (suffix_array.remove_repeats, substring_dedup.remove_passages):
         usual = sorted((str(r["key"]), r["n_removed"], bytes(r["kept"])) for r in of(docs).collect())
-        for hot in (0, 3):  # all grams, or those of more than three places
+        for hot in (2,):  # grams of more than two places: some windows go the one way, some the other, some both
             assert sorted((str(r["key"]), r["n_removed"], bytes(r["kept"])) for r in of(docs, hot=hot).collect()) == usual
 
 
