@@ -142,3 +142,13 @@ def test_contained_equals_a_plain_search(spark):
 def test_gram_tokens_are_those_of_any_text(spark):
     texts = ["货期 货期规", "がぎ カ゛ ヴァ", "ア・イ 豈", "", "ゝ々 ー"]
     assert [one(spark, t, I.grams) for t in texts] == [stem.tokens(t, False) for t in texts]
+
+
+def test_values_with_their_grams_are_not_broadcast(spark):
+    """Spark takes them for as small as the values, and a driver would have to hold each value as often as it has grams."""
+    rows = spark.createDataFrame([("c", "x" * 400)], "chunk_id string, v string")
+    patterns = spark.createDataFrame([("q", "xxxx")], "qid string, pattern string")
+    found = R.contained(rows, "v", patterns, 5)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_g" in x]
+    assert joins and all("rightHint=(strategy=broadcast)" in x for x in joins)
+    assert [tuple(r) for r in found.collect()] == [("q", "c")]

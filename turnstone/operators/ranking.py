@@ -34,6 +34,8 @@ def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int, tried
 
     A pattern meets the values that hold its first gram (three characters, or as many as it has), by a join on that gram,
     and is then looked for. Values are taken once each, however many rows have them. An empty pattern asks for nothing.
+    Patterns are what queries ask for and go to every executor. Spark must not choose the side: it takes values with their
+    grams for as small as the values alone, where each stands as often as it has grams. ``rows`` are read twice.
     ``tried``: all patterns, where the caller knows them; values that hold none of them need no grams while they are few.
     """
     distinct = rows.select(F.col(value).alias("_v")).filter("_v <> ''").distinct()
@@ -42,7 +44,7 @@ def contained(rows: DataFrame, value: str, patterns: DataFrame, most: int, tried
         distinct = distinct.filter(F.exists(F.lit(sorted(set(tried)) or [""]), lambda p: (p != "") & F.contains(F.col("_v"), p)))
     places = F.sequence(F.lit(1), F.char_length("_v"))
     grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("_v"), i, n)))))
-    found = distinct.withColumn("_g", F.explode(grams)).join(asked, "_g").filter(F.contains("_v", "pattern")).select("pattern", "_v")
+    found = distinct.withColumn("_g", F.explode(grams)).join(F.broadcast(asked), "_g").filter(F.contains("_v", "pattern")).select("pattern", "_v")
     pairs = found.join(rows.select("chunk_id", F.col(value).alias("_v")), "_v").select("pattern", "chunk_id").distinct()
     return _limited(pairs.join(patterns, "pattern"), most)
 
