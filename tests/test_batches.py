@@ -29,3 +29,27 @@ def test_finders_through_spark(spark):
     rows = spark.range(5000).select("id", F.concat(F.lit("see src/f"), "id", F.lit(".ts")).alias("t"))
     found = rows.select("id", E.find_paths("t").alias("p")).select("id", F.explode("p.value").alias("v"))
     assert found.filter(F.col("v") == F.concat(F.lit("src/f"), "id", F.lit(".ts"))).count() == found.count() == 5000
+
+
+def test_only_what_may_compose_is_sent_to_python(spark):
+    import unicodedata
+
+    from turnstone.functions import text as X
+
+    assert all(unicodedata.is_normalized("NFC", chr(i)) for i in range(0x300))
+    texts = ["plain", "é composed ÿ", "é å", "Å", "하", None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.nfc("t").alias("n"))
+    assert {r["t"]: r["n"] for r in frame.collect()} == {t: t and unicodedata.normalize("NFC", t) for t in texts}
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
+
+
+def test_postings_are_made_where_the_row_is(spark, monkeypatch):
+    from turnstone.operators import postings as I
+
+    monkeypatch.setattr(I, "MOST_TOKENS", 3)
+    rows = spark.createDataFrame([("a", "x y x", "y"), ("b", None, "x"), ("c", "", None), ("d", "z", "z z")], "chunk_id string, one string, two string").repartition(1)
+    found = I.postings(rows, "s", ["one", "two"], I.words)
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    far = 1 << 32
+    assert sorted(tuple(r) for r in found.collect()) == [("s", "x", "a", 2, 4, [0, 2]), ("s", "x", "b", 1, 1, [far]), ("s", "y", "a", 2, 4, [1, far]), ("s", "z", "d", 3, 3, [0, far, far + 1])]
