@@ -12,6 +12,7 @@ from turnstone.operators import postings as I
 from turnstone.operators import ranking as R
 from turnstone.operators import tools as TL
 from turnstone.plans import search as Q
+from turnstone.plans.staging import Staging
 from turnstone.sources import sessions as S
 
 
@@ -152,3 +153,13 @@ def test_values_with_their_grams_are_not_broadcast(spark):
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_g" in x]
     assert joins and all("rightHint=(strategy=broadcast)" in x for x in joins)
     assert [tuple(r) for r in found.collect()] == [("q", "c")]
+
+
+def test_scores_are_not_dealt_out_by_query(spark):
+    """Of a chunk's postings all scores are summed up where the chunk is: no exchange by query and chunk."""
+    rows = spark.createDataFrame([(str(i), "a b a" if i % 3 else "b c") for i in range(30)], "chunk_id string, t string")
+    post = I.postings(rows, "latin", ["t"], I.words)
+    terms = spark.createDataFrame([("p", "latin", 0, "a b"), ("q", "latin", 0, "a"), ("q", "latin", 1, "c")], "qid string, source string, phrase_no int, term string")
+    scores = I.bm25(post, I.phrases(terms, I.words), I.corpus(rows.select(F.lit("latin").alias("source"), "chunk_id"), post), stage=Staging(spark))
+    assert "hashpartitioning(qid" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert {r["qid"] for r in scores.collect()} == {"p", "q"} and scores.filter("qid = 'q'").count() == 30
