@@ -53,3 +53,13 @@ def test_postings_are_made_where_the_row_is(spark, monkeypatch):
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
     far = 1 << 32
     assert sorted(tuple(r) for r in found.collect()) == [("s", "x", "a", 2, 4, [0, 2]), ("s", "x", "b", 1, 1, [far]), ("s", "y", "a", 2, 4, [1, far]), ("s", "z", "d", 3, 3, [0, far, far + 1])]
+
+
+def test_sessions_are_walked_a_stretch_at_a_time(spark, monkeypatch):
+    from turnstone.operators import tree
+
+    monkeypatch.setattr(tree, "MOST_ENTRIES", 4)
+    rows = [(f"s{s}", i, f"{s}:{i}", f"{s}:{i - 1}" if i else None, i) for s in range(9) for i in range(3)]
+    entries = spark.createDataFrame(rows, "session_id string, ordinal int, entry_id string, parent_id string, ts_ms long")
+    found = {r["session_id"]: (r["leaf_id"], r["path"], r["path_len"], r["leaf_ord"]) for r in tree.leaf_paths(entries.repartition(1)).collect()}
+    assert found == {f"s{s}": (f"{s}:2", [f"{s}:0", f"{s}:1", f"{s}:2"], 3, 2) for s in range(9)}
